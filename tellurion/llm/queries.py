@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellurion.llm import bpe, media, quality, secrets, simhash
-from tellurion.session import ship_package
+from tellurion.llm import bpe, fingerprint, html_extract, media, mixing, quality, secrets, simhash, url_filter
+from tellurion.session import saved, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,26 @@ def bpe_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+@query
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    texts = html_extract.extract(pages, F.col("html"), url_filter.host_and_path(F.col("url"))[0])
+    return texts.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+def slim_documents(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", mixing.size_in_words(F.col("text")).alias("size"), mixing.plain_share(F.col("text")).alias("quality"))
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slim = saved(slim_documents(table(spark, sf_dir, "documents")), "slim")
+    return mixing.mix(slim).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op2_mixing"] = mixing.ORACLE
+
+
 @query
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_versions(table(spark, sf_dir, "documents"), secrets.new_ledger(spark), keep=["doc_id"])
@@ -55,12 +75,18 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    from tellurion.session import saved
-
     rows = saved(docs.select(F.col("doc_id").alias("id"), simhash.fingerprint(F.col("text"), width=4).alias("fp")), "prints")
     return simhash.near_duplicates(rows, radius=4).select(F.col("id").alias("doc_id"), F.col("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+@query
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("row.page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op6_urls"] = url_filter.ORACLE
+
+
 @query
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = bpe_files()
@@ -69,6 +95,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", bpe.token_count(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.against_next(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     image = media.to_png(F.col("text"))
