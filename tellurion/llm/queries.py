@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellurion.llm import bpe, fingerprint, html_extract, media, mixing, quality, secrets, simhash, url_filter
+from tellurion.llm import bpe, fingerprint, html_extract, media, mixing, quality, secrets, simhash, suffix, url_filter
 from tellurion.session import saved, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,15 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", bpe.token_count(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document that shares 50 words or more with another."""
+    found = suffix.repeats(table(spark, sf_dir, "documents"))
+    words = F.aggregate("spans", F.lit(0), lambda n, s: n + s.end - s.start)
+    listed = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s.start, s.end)), ",")
+    return found.select("doc_id", F.size("spans").alias("n_spans"), words.cast("long").alias("repeated_words"), listed.alias("spans"))
+
+
 @query
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.against_next(table(spark, sf_dir, "documents"))
