@@ -244,7 +244,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 
 
 def extract(pages: DataFrame, source: Column, host: Column, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """pages with a column `main_text`."""
+    """pages with a column `main_text`, which replaces one of that name."""
     keyed = pages.select(F.struct("*").alias("row"), source.alias("html"), host.alias("host"))
     found = templates(keyed.select("host", "html"), min_pages, min_share)
 
@@ -260,4 +260,4 @@ def extract(pages: DataFrame, source: Column, host: Column, min_pages: int = MIN
         return pd.Series(out, dtype=object)
 
     joined = keyed.join(found, "host", "left")
-    return joined.select(*(F.col("row")[c].alias(c) for c in pages.columns), text("html", "template").alias("main_text"))
+    return joined.select(*(F.col("row")[c].alias(c) for c in pages.columns if c != "main_text"), text("html", "template").alias("main_text"))

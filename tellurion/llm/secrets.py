@@ -116,6 +116,7 @@ class Ledger:
 def scan_versions(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of versions (all if None) and `found`: array of (kind, start, end) of all rules, in no set order.
 
+    A column of versions that is called found is replaced.
     versions holds every historical version of every path, one row for each. The texts are
     shuffled once, after exact copies within a task have met.
     """
@@ -130,7 +131,7 @@ def scan_versions(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] =
     )
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     back = row.drop("text").join(found, "blob", "left")
-    return back.select(*(F.col("row")[c].alias(c) for c in (keep or versions.columns)), F.coalesce("found", none).alias("found"))
+    return back.select(*(F.col("row")[c].alias(c) for c in (keep or versions.columns) if c != "found"), F.coalesce("found", none).alias("found"))
 
 
 def new_ledger(spark) -> Ledger:
