@@ -53,7 +53,7 @@ def write_block(root: str, signal: str, rows: DataFrame, dimension: DataFrame |
     block = block or uuid.uuid4().hex
     base = f"{root.rstrip('/')}/{signal}/{stats[3]}/{writer}/{block}"
     sort = schemas.SORT[signal]
-    data = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
+    data = rows.select(*(F.col(f.name).cast(f.dataType.simpleString()).alias(f.name) for f in schema))
     dealt = data.repartition(1) if parts == 1 else data.repartitionByRange(parts, *sort)
     dealt.sortWithinPartitions(*sort).write.options(**WRITER).option("maxRecordsPerFile", 1 << 22).mode("overwrite").parquet(f"{base}.{signal}")
     if dimension is not None:

@@ -82,7 +82,7 @@ class LiveTable:
         if not paths:
             empty = self.spark.createDataFrame([], self.schema)
             return empty.select("*", F.lit("").alias("writer"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("segment")).limit(0)
-        rows = self.spark.read.schema(self.schema).option("basePath", self.root).parquet(*paths)
+        rows = self.spark.read.schema(self.schema).parquet(*paths)
         name = F.col("_metadata.file_path")
         return rows.select("*", F.regexp_extract(name, "/writer=([^/]+)", 1).alias("writer"), F.regexp_extract(name, "/shard=([^/]+)", 1).cast("int").alias("shard"), F.regexp_extract(name, "/segment=([^/]+)", 1).cast("long").alias("segment")).select(*[f.name for f in self.schema], "writer", "shard", "segment")
 
