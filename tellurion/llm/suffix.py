@@ -99,7 +99,9 @@ def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
 
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     sparse = saved(texts.mapInPandas(retained, "gram long, doc_id long, mark long, place int"), "suffixes")
-    shared = sparse.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a != b").select("gram")
+    # Both sides of the joins below are stored tables, not sums over the same shuffle: then Spark can split a gram
+    # or a stretch that a large part of all documents has.
+    shared = saved(sparse.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a != b").select("gram"), "shared")
     kept = sparse.join(shared, "gram", "left_semi").groupBy("doc_id", "mark").agg(F.collect_list("place").alias("places"))
     around = texts.join(kept, ["doc_id", "mark"]).select("doc_id", "text", "places")
     found = saved(around.mapInPandas(extents, "gram long, extent long, doc_id long, start int, stretches array<long>"), "extents")
@@ -110,10 +112,12 @@ def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     differ = each.groupBy("gram").agg(F.count("*").alias("n"), F.max((F.col("a") == F.col("b")).cast("int")).alias("alone")).filter("n > 1 and alone = 1").select("gram")
     unequal = each.join(differ, "gram", "left_semi")
     again = unequal.select("a", "b", F.explode("stretches").alias("stretch")).groupBy("stretch").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a != b").select("stretch")
+    again = saved(again, "again")
     single = unequal.filter("a = b").select("gram", "extent", F.posexplode("stretches").alias("i", "stretch")).join(again, "stretch", "left_semi")
     part = single.groupBy("gram", "extent").agg(F.collect_set("i").alias("hits"))
     full = each.filter("a != b").select("gram", "extent", F.sequence(F.lit(0), F.size("stretches") - 1).alias("hits"))
-    hits = found.select("gram", "extent", "doc_id", "start").join(full.union(part), ["gram", "extent"])
+    repeated = saved(full.union(part), "repeated")
+    hits = found.select("gram", "extent", "doc_id", "start").join(repeated, ["gram", "extent"])
     covered = hits.select("doc_id", F.transform("hits", lambda i: F.col("start") + i).alias("starts"))
     covered = covered.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("starts")))).alias("starts"))
 
