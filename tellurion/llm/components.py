@@ -17,21 +17,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Nodes without a link to another are left out; null ends, loops and repeated edges are
     ignored. Each step keeps at most one edge for each former one, in a table in the shared
-    folder, so lineage stays short and lost executors cost one step. The driver sees a count
-    and a checksum only.
+    folder, so lineage stays short and lost executors cost one step. The least neighbours are
+    stored too: both sides of each join are then tables, and Spark can split a node that has a
+    large part of all edges. The driver sees a count and a checksum only.
     """
     pair = F.when(F.col("u") > F.col("v"), F.struct("u", "v")).otherwise(F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
     now = saved(edges.filter("u != v").select(pair.alias("e")).select("e.u", "e.v").distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = saved(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        discard(least)
+        least = saved(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         then = saved(small.filter("u != v").distinct(), "edges")
         before, mark = mark, _mark(then)
-        discard(now)
+        for done in (now, large, least):
+            discard(done)
         now = then
         if mark == before:
             break

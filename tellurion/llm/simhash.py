@@ -10,8 +10,13 @@ two fingerprints within the radius share at least one shard whatever they are, s
 is lost. Each shard is a BK-tree, built in the task that the shuffle brings it to: children
 are keyed by their integer Hamming distance to the parent, and a query follows only the
 edges within the radius of its own distance. A shard of more than `shard_rows` is split into
-parts, and each pair of parts is a tree of its own; nothing is dropped. A shard gives the
-edges of a spanning forest, not all its pairs.
+parts, and each pair of parts is a tree of its own; nothing is dropped. Of all its pairs
+within the radius a tree gives the edges of a minimum spanning forest: they link the same
+fingerprints, and a later check of texts meets the nearest pairs.
+
+For radii that no exact bands cover, lsh_bands() draws bands by a stated recall, longer and
+more of them as the number of fingerprints grows, so shards stay small. resembling() then
+holds the texts behind each edge against a least resemblance of their shingle sets.
 
 Trees are not broadcast: together they hold the fingerprints of all documents, which the
 driver must never hold.
@@ -20,6 +25,8 @@ driver must never hold.
 from __future__ import annotations
 
 import math
+from array import array
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -34,6 +41,10 @@ from tellurion.session import saved
 #: Odd multipliers that derive further words of a fingerprint from the first hash.
 MIX = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 SHARD_ROWS = 2048
+#: Bands as lists of masks, one mask for each word of a fingerprint.
+Bands = list[tuple[int, ...]]
+#: Up to so many ends of edges (some 150 bytes each) are broadcast to the texts; beyond that both sides are shuffled.
+BROADCAST_ENDS = 100_000
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -80,8 +91,8 @@ def fingerprint(text: Column, width: int = 5, words: int = 1) -> Column:
     return prints(text)
 
 
-def exact_bands(radius: int, count: int) -> list[tuple[int, int]]:
-    """(word, mask) bands of which any two 64-bit values within the radius share one.
+def exact_bands(radius: int, count: int) -> Bands:
+    """Bands of which any two 64-bit values within the radius share one.
 
     The 64 bits fall into radius + k blocks; two values differ in at most radius of them, so
     some k blocks agree. k grows with the number of fingerprints and keeps shards small.
@@ -92,12 +103,31 @@ def exact_bands(radius: int, count: int) -> list[tuple[int, int]]:
             break
     edges = [64 * i // blocks for i in range(blocks + 1)]
     masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    return [(0, sum(c)) for c in combinations(masks, k)]
+    return [(sum(c),) for c in combinations(masks, k)]
+
 
+def lsh_bands(words: int, differing: float, count: int, recall: float = 0.97) -> Bands:
+    """Bands of which two values share one with the recall, if each bit differs with chance `differing`.
 
-def spread_bands(words: int, bits: int) -> list[tuple[int, int]]:
-    """Disjoint bands of so many bits over all words, for radii beyond exact_bands()."""
-    return [(w, ((1 << bits) - 1) << a) for w in range(words) for a in range(0, 64 - bits + 1, bits)]
+    A band has 13 bits up to 2 ** 24 fingerprints, and one more for each doubling beyond. Bands
+    are cut from shuffled orders of all bits, so those of one order do not overlap.
+    """
+    bits = max(13, math.ceil(math.log2(max(count, 2))) - 11)
+    wanted, total = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing) ** bits)), 64 * words
+    if wanted * bits > total:  # bands overlap: the recall is that over all numbers of differing bits, each by its chance
+        chance = np.ones(1)
+        for _ in range(total):
+            chance = np.append(chance * (1 - differing), 0) + np.append(0, chance * differing)
+        k = np.arange(total - bits + 1)
+        agree = np.prod([(total - k - i) / (total - i) for i in range(bits)], axis=0)
+        while chance[k] @ (1 - (1 - agree) ** wanted) < recall:
+            wanted += max(1, wanted // 50)
+    draw, out = np.random.default_rng(11), []
+    while len(out) < wanted:
+        order = draw.permutation(total).tolist()
+        for at in range(0, total - bits + 1, bits):
+            out.append(tuple(sum(1 << (x % 64) for x in order[at : at + bits] if x // 64 == w) for w in range(words)))
+    return out[:wanted]
 
 
 class BKTree:
@@ -119,13 +149,14 @@ class BKTree:
                 return
             node = child
 
-    def within(self, value: int, radius: int) -> list[int]:
+    def within(self, value: int, radius: int) -> list[tuple[int, int]]:
+        """(distance, value) of all that lie within the radius."""
         found, stack = [], [self.root] if self.root else []
         while stack:
             v, children = stack.pop()
             d = (v ^ value).bit_count()
             if d <= radius:
-                found.append(v)
+                found.append((d, v))
             if children:
                 if len(children) <= 2 * radius:
                     stack += [c for k, c in children.items() if -radius <= k - d <= radius]
@@ -135,34 +166,43 @@ class BKTree:
 
 
 def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """Edges that join all values linked within the radius, at most one less than values."""
-    parent = {v: v for v in values}
-
-    def root(v: int) -> int:
-        while parent[v] != v:
-            parent[v] = v = parent[parent[v]]
-        return v
-
-    tree, edges = BKTree(), []
-    for v in parent:
-        for near in tree.within(v, radius):
-            a, b = root(v), root(near)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                edges.append((v, near))
+    """A minimum spanning forest of all pairs within the radius; of equal distances the lesser values first."""
+    values = sorted(set(values))
+    place = {v: i for i, v in enumerate(values)}
+    tree, packed = BKTree(), array("q")
+    for i, v in enumerate(values):
+        packed.extend([d << 48 | place[near] << 24 | i for d, near in tree.within(v, radius)])
         tree.add(v)
+    parent = list(range(len(values)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    edges = []
+    for x in np.sort(np.frombuffer(packed, np.int64)).tolist():
+        a, b = x >> 24 & 0xFFFFFF, x & 0xFFFFFF
+        i, j = root(a), root(b)
+        if i != j:
+            parent[max(i, j)] = min(i, j)
+            edges.append((values[a], values[b]))
+            if len(edges) == len(values) - 1:
+                break
     return edges
 
 
-def links(prints: DataFrame, bands: list[tuple[int, int]], radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def links(prints: DataFrame, bands: Bands, radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """prints(fp string), distinct -> edges (u, v) of fingerprints within the radius that share a shard."""
-    words = max(w for w, _ in bands) + 1
-    column, masks = [w for w, _ in bands], np.array([m for _, m in bands], np.uint64)
+    words, masks = len(bands[0]), np.array(bands, np.uint64)
 
     @F.pandas_udf("array<bigint>")
     def keys(values: pd.Series) -> pd.Series:
         got = np.frombuffer(bytes.fromhex("".join(v[: 16 * words] for v in values)), ">u8").astype(np.uint64).reshape(len(values), words)
-        return pd.Series(list((got[:, column] & masks).view(np.int64)), dtype=object)
+        key = got[:, :1] & masks[:, 0]
+        for w in range(1, words):
+            key = key * np.uint64(MIX[1]) + (got[:, w : w + 1] & masks[:, w])
+        return pd.Series(list(key.view(np.int64)), dtype=object)
 
     def trees(batches):
         held: list[int] = []
@@ -198,16 +238,45 @@ def links(prints: DataFrame, bands: list[tuple[int, int]], radius: int, shard_ro
     return dealt.mapInPandas(trees, "u string, v string").distinct()
 
 
-def near_duplicates(rows: DataFrame, radius: int, bands: list[tuple[int, int]] | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def resemblance(a: str | None, b: str | None, width: int) -> float:
+    """Shared over all distinct shingles of two texts; 1 if neither has any."""
+    x, y = np.unique(shingle_hashes(a, width)), np.unique(shingle_hashes(b, width))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def resembling(edges: DataFrame, rows: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """Those edges(u, v) whose texts resemble each other by `least` or more.
+
+    rows(id, fp, mark) says by id and hash of the text where a fingerprint occurs; of equal
+    fingerprints one text stands for all. texts(id, text) has all texts; null texts have no edges.
+    """
+    ends = edges.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    least_row = rows.groupBy("fp").agg(F.min(F.struct("id", "mark")).alias("one"))  # before the join, which then meets each fingerprint once
+    one = saved(least_row.join(ends, "fp").select("fp", "one.id", "one.mark"), "ends")
+    side = F.broadcast(one) if one.count() <= BROADCAST_ENDS else one
+    named = texts.select("id", "text", F.xxhash64("text").alias("mark")).join(side, ["id", "mark"])
+    found = saved(named.groupBy("fp").agg(F.first("text").alias("text")), "texts")
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([resemblance(x, y, width) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    first, second = (found.select(F.col("fp").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv")
+    return edges.join(first, "u").join(second, "v").filter(alike("text_u", "text_v") >= least).select("u", "v")
+
+
+def near_duplicates(rows: DataFrame, radius: int, bands: Callable[[int], Bands] | None = None, shard_rows: int = SHARD_ROWS, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """rows(id, fp) -> (id, fp, component): the least id of all rows reachable over links within the radius.
 
-    bands None: exact_bands() for 64-bit fingerprints. Ids may repeat; null ids keep their
-    row and never are a least id unless a component has no other.
+    bands gives the bands for a number of fingerprints; None: exact_bands() for 64-bit ones.
+    check drops edges (u, v), stored ones, before they count as links. Ids may repeat; null ids
+    keep their row and never are a least id unless a component has no other.
     """
     prints = saved(rows.groupBy("fp").agg(F.min("id").alias("least")), "prints")
-    if bands is None:
-        bands = exact_bands(radius, prints.count())
-    member = saved(connected_components(links(prints.select("fp"), bands, radius, shard_rows)), "members")
+    count = prints.count()
+    edges = links(prints.select("fp"), bands(count) if bands else exact_bands(radius, count), radius, shard_rows)
+    member = saved(connected_components(check(saved(edges, "links")) if check else edges), "members")
     named = prints.join(member, prints.fp == member.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     of = named.join(least, "root").select("fp", "component")

@@ -63,7 +63,41 @@ def test_bands_miss_no_pair(count):
     rng = np.random.default_rng(1)
     for _ in range(300):
         flips = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
-        assert any(not flips & mask for _, mask in bands)
+        assert any(not flips & mask for (mask,) in bands)
+
+
+def test_drawn_bands():
+    for count, bits in ((100, 13), (2**36, 25)):
+        bands = simhash.lsh_bands(6, 0.15, count)
+        assert all(sum(m.bit_count() for m in b) == bits for b in bands)
+        rng = np.random.default_rng(3)
+        flips = [[sum(1 << x for x in range(64) if r[w * 64 + x]) for w in range(6)] for r in rng.random((1000, 384)) < 0.15]
+        assert np.mean([any(not any(f & m for f, m in zip(x, b, strict=True)) for b in bands) for x in flips]) > 0.955
+
+
+def test_forest_is_least():
+    rng = np.random.default_rng(8)
+    base = int(rng.integers(0, 2**63))
+    values = sorted({base ^ sum(1 << int(i) for i in rng.choice(64, int(rng.integers(0, 7)), replace=False)) for _ in range(60)})
+    pairs = sorted(((a ^ b).bit_count(), a, b) for a, b in itertools.combinations(values, 2) if (a ^ b).bit_count() <= 6)
+    root, want = {v: v for v in values}, 0
+    for d, a, b in pairs:
+        x, y = root[a], root[b]
+        if x != y:
+            want += d
+            root = {v: x if r == y else r for v, r in root.items()}
+    edges = simhash.forest(values[::-1], 6)
+    assert sum((a ^ b).bit_count() for a, b in edges) == want and len(edges) == len(values) - len(set(root.values()))
+
+
+def test_resembling(spark):
+    long = " ".join(f"w{i}" for i in range(100))
+    texts = spark.createDataFrame([(1, long), (1, "other text"), (2, long + " x y"), (3, long[:200] + " u v w"), (1, long)], "id long, text string")
+    rows = texts.select("id", simhash.fingerprint(F.col("text"), 5).alias("fp"), F.xxhash64("text").alias("mark"))
+    fp = {r.text: r.fp for r in texts.select("text", simhash.fingerprint(F.col("text"), 5).alias("fp")).collect()}
+    edges = spark.createDataFrame([(fp[long], fp[long + " x y"]), (fp[long], fp[long[:200] + " u v w"])], "u string, v string")
+    got = [tuple(r) for r in simhash.resembling(edges, rows, texts, 5, 0.8).collect()]
+    assert got == [(fp[long], fp[long + " x y"])] and simhash.resemblance(None, "", 5) == 1.0
 
 
 def test_tree_finds_all():
@@ -74,7 +108,7 @@ def test_tree_finds_all():
     for v in values:
         tree.add(v)
     for q in values[::7]:
-        assert sorted(tree.within(q, 4)) == [v for v in values if (v ^ q).bit_count() <= 4]
+        assert sorted(tree.within(q, 4)) == sorted(((v ^ q).bit_count(), v) for v in values if (v ^ q).bit_count() <= 4)
 
 
 @pytest.mark.parametrize("shard_rows", [5, 2048])

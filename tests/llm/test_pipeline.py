@@ -35,7 +35,7 @@ def test_classifier_drops_what_it_rejects(spark, sf_dir, docs):
 def test_one_document_of_each_group_stays(spark, sf_dir, docs):
     texts = {r.doc_id: r.text for r in docs.collect()}
     left = {r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()}
-    prints = {i: int(simhash.fingerprint_text(t, pipeline.WIDTH, pipeline.WORDS), 16) for i, t in texts.items()}
+    shingles = {i: set(simhash.shingle_hashes(t, pipeline.WIDTH).tolist()) for i, t in texts.items()}
     root = {i: i for i in texts}
     ids = sorted(texts)
 
@@ -46,7 +46,7 @@ def test_one_document_of_each_group_stays(spark, sf_dir, docs):
 
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
-            if (prints[a] ^ prints[b]).bit_count() <= pipeline.RADIUS:
+            if len(shingles[a] & shingles[b]) >= pipeline.LEAST * len(shingles[a] | shingles[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     assert left == {find(i) for i in ids}
