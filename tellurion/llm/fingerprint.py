@@ -174,7 +174,8 @@ def neighbours(docs: DataFrame, row_bytes: int = 4000, part_bytes: int = 8_000_0
     follow = saved(firsts.select("first", of.alias("of")), "firsts")  # a row for each part, MOST_PARTS + 1 at most
     copies = rows.join(F.broadcast(follow), F.col("order") == F.col("first")).dropDuplicates(["of"])
     every = rows.withColumn("last", F.lit(False)).union(copies.select("doc_id", "text", F.col("of").alias("part"), "order", F.lit(True)))
-    return every.repartition("part").sortWithinPartitions("part", "last", "order").select("part", "doc_id", "text", "last")
+    # A task for each part: hashed numbers of parts would put several into one task and leave others empty.
+    return every.repartitionById(len(cuts) + 2, 1 - F.col("part")).sortWithinPartitions("part", "last", "order").select("part", "doc_id", "text", "last")
 
 
 def against_next(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
