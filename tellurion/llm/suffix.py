@@ -110,6 +110,7 @@ def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     each = found.groupBy("gram", "extent").agg(*ends, F.first("stretches").alias("stretches"))
     each = saved(each, "distinct")
     differ = each.groupBy("gram").agg(F.count("*").alias("n"), F.max((F.col("a") == F.col("b")).cast("int")).alias("alone")).filter("n > 1 and alone = 1").select("gram")
+    differ = saved(differ, "differ")
     unequal = each.join(differ, "gram", "left_semi")
     again = unequal.select("a", "b", F.explode("stretches").alias("stretch")).groupBy("stretch").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a != b").select("stretch")
     again = saved(again, "again")
