@@ -277,7 +277,8 @@ def near_duplicates(rows: DataFrame, radius: int, bands: Callable[[int], Bands]
     count = prints.count()
     edges = links(prints.select("fp"), bands(count) if bands else exact_bands(radius, count), radius, shard_rows)
     member = saved(connected_components(check(saved(edges, "links")) if check else edges), "members")
-    named = prints.join(member, prints.fp == member.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
+    # Stored, so that Spark can split a component that a large part of all fingerprints belongs to.
+    named = saved(prints.join(member, prints.fp == member.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
+    least = saved(named.groupBy("root").agg(F.min("least").alias("component")), "least")
     of = named.join(least, "root").select("fp", "component")
     return rows.join(of, "fp").select("id", "fp", "component")
