@@ -1,7 +1,8 @@
 """SimHash near-duplicates, searched with BK-trees over shards of the fingerprints.
 
 A fingerprint has 64 bits for each of its words; a bit is 1 if it is set in more than half
-of the shingle hashes, repeats included. Texts of fewer words than a shingle have one
+of the shingle hashes, repeats included, or in distinct mode in more than half of the
+distinct ones. Only the latter measures the resemblance of shingle sets. Texts of fewer words than a shingle have one
 shingle, their whole word sequence; texts without words (null and empty ones too) have the
 fingerprint zero and are linked like any other.
 
@@ -72,9 +73,11 @@ def mixed(hashes: np.ndarray, words: int) -> np.ndarray:
     return x
 
 
-def fingerprint_text(text: str | None, width: int, words: int = 1) -> str:
-    """16 lowercase hex digits for each word."""
+def fingerprint_text(text: str | None, width: int, words: int = 1, distinct: bool = False) -> str:
+    """16 lowercase hex digits for each word; distinct: a repeated shingle counts once."""
     hashes = shingle_hashes(text, width)
+    if distinct:
+        hashes = np.unique(hashes)
     total = np.zeros(64 * words, np.int64)
     for at in range(0, len(hashes), 4096):
         part = mixed(hashes[at : at + 4096], words)
@@ -83,10 +86,10 @@ def fingerprint_text(text: str | None, width: int, words: int = 1) -> str:
     return bits.astype(">u8").tobytes().hex()
 
 
-def fingerprint(text: Column, width: int = 5, words: int = 1) -> Column:
+def fingerprint(text: Column, width: int = 5, words: int = 1, distinct: bool = False) -> Column:
     @F.pandas_udf("string")
     def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint_text(t, width, words) for t in texts], dtype=object)
+        return pd.Series([fingerprint_text(t, width, words, distinct) for t in texts], dtype=object)
 
     return prints(text)
 

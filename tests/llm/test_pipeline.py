@@ -1,5 +1,6 @@
 """Each stage of the pipeline on its own input against brute force."""
 
+import itertools
 from collections import Counter
 
 import corpus_pipeline as pipeline
@@ -52,6 +53,37 @@ def test_one_document_of_each_group_stays(spark, sf_dir, docs):
     assert left == {find(i) for i in ids}
 
 
+def least_of_groups(texts):
+    """Least ids of the components of all pairs whose shingle sets resemble each other by LEAST."""
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(texts), 2):
+        if simhash.resemblance(texts[a], texts[b], pipeline.WIDTH) >= pipeline.LEAST:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {find(i) for i in texts}
+
+
+def left_of(spark, sf_dir, texts):
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    return sorted(r.doc_id for r in pipeline.drop_near_duplicates(spark, table, sf_dir).collect())
+
+
+def test_near_copies_with_a_recurring_passage(spark, sf_dir):
+    texts = {}
+    for k in range(40):
+        words = [f"a{k}w{i}" for i in range(100)]
+        texts[2 * k], texts[2 * k + 1] = " ".join(words), " ".join(words + words[k % 60 : k % 60 + 40] * 10)
+    want = sorted(least_of_groups(texts))
+    assert want == list(range(0, 80, 2))
+    assert left_of(spark, sf_dir, texts) == want
+
+
 def test_secrets_are_redacted_and_nothing_else(spark, sf_dir, docs):
     out = {r.doc_id: r for r in pipeline.redact_secrets(spark, docs, sf_dir).collect()}
     for r in docs.collect():
