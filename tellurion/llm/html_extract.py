@@ -1,10 +1,11 @@
 """Main text of web pages by removal of site templates.
 
 Every element subtree is hashed (tag, class, id, role, text and children); the subtrees of
-all pages are counted for each host in Spark, and those that recur on many pages of their
-host are deleted: menus, notices, adverts and footers repeat, articles do not. Pages that
+all pages are counted for each host in Spark, and those that recur on MIN_PAGES different pages
+of their host or more, whatever the host's size, are deleted: menus, notices, adverts and footers repeat, articles do not. Pages that
 carry the same prose count once, so that copies of an article never make it a template,
-and paragraphs and headings inside an article are never deleted by this count. Where a host
+and paragraphs and headings inside an article are never deleted by this count, nor are
+links and emphasis in the midst of a text. Where a host
 has too few pages for the count, elements that say what they are (nav, footer, aside, form,
 role and class names) go by their own word; an <article> or main element, where there is
 one, bounds what is kept.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tellurion.session import saved
 
-MIN_PAGES, MIN_SHARE = 4, 0.05
+MIN_PAGES = 4
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -44,6 +45,8 @@ ENDS_P = BLOCK - {"br", "body", "html", "head", "option", "td", "th", "tr", "tbo
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 BOUNDS = frozenset("ul ol dl table select article section div nav aside main body html menu".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt figcaption td th tr b i em strong span a code br".split())
+#: Of these, one that has a text beside it is a part of that text.
+INLINE = frozenset("b i em strong span a code".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROPPED = frozenset("head title script style noscript template iframe nav footer aside form menu button select textarea input svg dialog object canvas".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
@@ -170,6 +173,11 @@ def main_element(root: Node) -> Node | None:
     return mains[0] if mains else None
 
 
+def in_midst(nodes: list[Node]) -> set[int]:
+    """Ids of the inline elements whose parent has words of its own."""
+    return {id(p) for n in nodes if any(isinstance(p, str) and re.search(r"\w", p) for p in n.parts) for p in n.parts if isinstance(p, Node) and p.tag in INLINE}
+
+
 def candidates(source: str | None) -> tuple[int, list[int]]:
     """A hash of the page's prose, and the hashes of subtrees that may belong to a template."""
     root = parse(source)
@@ -177,7 +185,8 @@ def candidates(source: str | None) -> tuple[int, list[int]]:
     hash_subtrees(nodes)
     main = main_element(root)
     inside = set(map(id, in_order(main))) if main else set()
-    found = {n.hash for n in nodes[1:] if n.size and n.tag not in ("html", "body", "head") and not (id(n) in inside and (n is main or n.tag in PROSE))}
+    midst = in_midst(nodes)
+    found = {n.hash for n in nodes[1:] if n.size and n.tag not in ("html", "body", "head") and not (id(n) in inside and (n is main or n.tag in PROSE)) and id(n) not in midst}
     prose = xxhash.xxh64()
     for n in nodes:
         if n.tag in ("p", *HEADINGS) and n.size and (main is None or id(n) in inside):
@@ -187,8 +196,10 @@ def candidates(source: str | None) -> tuple[int, list[int]]:
 
 def extract_text(source: str | None, template: frozenset[int] = frozenset()) -> str:
     root = parse(source)
-    hash_subtrees(in_order(root))
+    nodes = in_order(root)
+    hash_subtrees(nodes)
     main = main_element(root)
+    midst = in_midst(nodes) if template else set()
     blocks: list[list[str]] = [[]]
 
     def emit(top: Node) -> None:
@@ -201,7 +212,7 @@ def extract_text(source: str | None, template: frozenset[int] = frozenset()) ->
                 blocks[-1].append(item)
             else:
                 if item is not top:
-                    if item.hash in template and item.size and not (within and item.tag in PROSE):
+                    if item.hash in template and item.size and not (within and item.tag in PROSE) and id(item) not in midst:
                         continue
                     if said_boilerplate(item) or is_header(item) and not (within and any(n.tag in HEADINGS for n in in_order(item))):
                         continue
@@ -219,45 +230,43 @@ def _signed(values) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """pages(host, html) -> (host, template): for each host the hashes that recur in its pages.
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """pages(host, mark, html) -> (host, mark, template): for each page the hashes it has that recur in its host's pages.
 
-    A hash needs min_pages different pages and min_share of the host's, so a host has at most
-    1 / min_share times the subtrees of an average page, however many pages it has.
+    A hash needs min_pages different pages. What recurs on a host grows with the host, so no
+    list of it is made: it is joined to the pages' own subtrees, and a list is as long as its page.
+    mark tells the pages of a host apart; should two share one, each gets the list of both, and
+    all of it are templates of their host.
     """
 
     def found(batches):
         for batch in batches:
-            hosts, hashes, proses = [], [], []
-            for host, source in zip(batch.host, batch.html, strict=True):
+            hosts, marks, hashes, proses = [], [], [], []
+            for host, mark, source in zip(batch.host, batch.mark, batch.html, strict=True):
                 prose, own = candidates(source)
-                hosts += [host] * (len(own) + 1)
-                hashes += [0, *own]  # 0 stands for the page
-                proses += [prose] * (len(own) + 1)
-            yield pd.DataFrame({"host": hosts, "hash": _signed(hashes), "prose": _signed(proses)})
+                hosts += [host] * len(own)
+                marks += [mark] * len(own)
+                hashes += own
+                proses += [prose] * len(own)
+            yield pd.DataFrame({"host": hosts, "mark": np.array(marks, np.int64), "hash": _signed(hashes), "prose": _signed(proses)})
 
-    rows = pages.filter("host is not null and host != ''").mapInPandas(found, "host string, hash long, prose long")
-    counts = saved(rows.distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages), "subtrees")
-    total = counts.filter("hash = 0").select("host", F.col("n").alias("pages"))
-    often = counts.filter("hash != 0").join(total, "host").filter(F.col("n") >= F.col("pages") * min_share)
-    return saved(often.groupBy("host").agg(F.collect_list("hash").alias("template")), "templates")
+    rows = saved(pages.filter("host is not null and host != ''").mapInPandas(found, "host string, mark long, hash long, prose long"), "subtrees")
+    counts = rows.select("host", "hash", "prose").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
+    often = saved(counts.filter(F.col("n") >= min_pages).select("host", "hash"), "often")
+    # Both sides are stored, so that Spark can split a subtree that a large part of all pages has.
+    own = rows.select("host", "mark", "hash").join(often, ["host", "hash"])
+    return saved(own.groupBy("host", "mark").agg(F.collect_set("hash").alias("template")), "templates")
 
 
-def extract(pages: DataFrame, source: Column, host: Column, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, source: Column, host: Column, min_pages: int = MIN_PAGES) -> DataFrame:
     """pages with a column `main_text`, which replaces one of that name."""
-    keyed = pages.select(F.struct("*").alias("row"), source.alias("html"), host.alias("host"))
-    found = templates(keyed.select("host", "html"), min_pages, min_share)
+    keyed = pages.select(F.struct("*").alias("row"), source.alias("html"), host.alias("host")).withColumn("mark", F.xxhash64("html"))
+    found = templates(keyed.select("host", "mark", "html"), min_pages)
 
     @F.pandas_udf("string")
     def text(sources: pd.Series, lists: pd.Series) -> pd.Series:
-        sets: dict[bytes, frozenset] = {}
-        out = []
-        for s, t in zip(sources, lists, strict=True):
-            raw = b"" if t is None else np.asarray(t, np.int64).tobytes()
-            if raw not in sets:
-                sets[raw] = frozenset(np.frombuffer(raw, np.uint64).tolist())
-            out.append(extract_text(s, sets[raw]))
-        return pd.Series(out, dtype=object)
-
-    joined = keyed.join(found, "host", "left")
+        sets = (frozenset() if t is None else frozenset(np.asarray(t, np.int64).view(np.uint64).tolist()) for t in lists)
+        return pd.Series([extract_text(s, t) for s, t in zip(sources, sets, strict=True)], dtype=object)
+
+    joined = keyed.join(found.hint("shuffle_hash"), ["host", "mark"], "left")
     return joined.select(*(F.col("row")[c].alias(c) for c in pages.columns if c != "main_text"), text("html", "template").alias("main_text"))

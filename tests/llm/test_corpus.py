@@ -274,3 +274,12 @@ def test_templates_are_counted_by_host(spark):
     assert all(got[20 + i] == "Latest from us Same 0 text. Call 555 today" for i in range(12))
     assert got[40] == "Latest from us x 1 text. Call 555 today" and got[41] == ""
     assert html_extract.extract(pages.limit(0), F.col("html"), F.col("host")).count() == 0
+
+
+def test_templates_do_not_depend_on_the_size_of_the_host(spark):
+    """A block on 4 pages goes on a host of 12 pages as on one of 400; a word in bold amid a text stays."""
+    page = "<body><div><p>Story {0}</p></div><div>It is <b>not</b> {0}</div>{1}</body>"
+    rows = [(h * 1000 + i, f"http://h{h}.com/{i}", page.format(i, "<div>Call 555 today</div>" if i < 4 else "")) for h, n in ((0, 12), (1, 400)) for i in range(n)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.main_text for r in html_extract.extract(pages, F.col("html"), url_filter.host_and_path(F.col("url"))[0]).collect()}
+    assert got == {i: f"Story {i % 1000} It is not {i % 1000}" for i, _, _ in rows}
