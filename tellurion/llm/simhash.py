@@ -252,7 +252,8 @@ def resembling(edges: DataFrame, rows: DataFrame, texts: DataFrame, width: int,
     """Those edges(u, v) whose texts resemble each other by `least` or more.
 
     rows(id, fp, mark) says by id and hash of the text where a fingerprint occurs; of equal
-    fingerprints one text stands for all. texts(id, text) has all texts; null texts have no edges.
+    fingerprints one text stands for all, so they must be of distinct shingles: those of
+    texts below `least` then differ, whereas with repeats one shingle may outvote the rest. texts(id, text) has all texts; null texts have no edges.
     """
     ends = edges.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
     least_row = rows.groupBy("fp").agg(F.min(F.struct("id", "mark")).alias("one"))  # before the join, which then meets each fingerprint once

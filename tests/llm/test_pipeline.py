@@ -84,6 +84,11 @@ def test_near_copies_with_a_recurring_passage(spark, sf_dir):
     assert left_of(spark, sf_dir, texts) == want
 
 
+def test_a_dominant_run_does_not_merge_documents(spark, sf_dir):
+    texts = {k: " ".join(["same"] * 300 + [f"b{k}w{i}" for i in range(60)]) for k in range(20)} | {20: "line of six words said often " * 400 + "end", 21: "line of six words said often " * 400 + "and what no other text has at its end"}
+    assert left_of(spark, sf_dir, texts) == sorted(least_of_groups(texts)) == list(range(22))
+
+
 def test_secrets_are_redacted_and_nothing_else(spark, sf_dir, docs):
     out = {r.doc_id: r for r in pipeline.redact_secrets(spark, docs, sf_dir).collect()}
     for r in docs.collect():
