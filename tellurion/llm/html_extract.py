@@ -3,7 +3,7 @@
 Every element subtree is hashed (tag, class, id, role, text and children); the subtrees of
 all pages are counted for each host in Spark, and those that recur on MIN_PAGES different pages
 of their host or more, whatever the host's size, are deleted: menus, notices, adverts and footers repeat, articles do not. Pages that
-carry the same prose count once, so that copies of an article never make it a template,
+carry the same prose (their text, where they have no paragraph or heading) count once, so that copies of an article never make it a template,
 and paragraphs and headings inside an article are never deleted by this count, nor are
 links and emphasis in the midst of a text. Where a host
 has too few pages for the count, elements that say what they are (nav, footer, aside, form,
@@ -188,9 +188,11 @@ def candidates(source: str | None) -> tuple[int, list[int]]:
     midst = in_midst(nodes)
     found = {n.hash for n in nodes[1:] if n.size and n.tag not in ("html", "body", "head") and not (id(n) in inside and (n is main or n.tag in PROSE)) and id(n) not in midst}
     prose = xxhash.xxh64()
-    for n in nodes:
-        if n.tag in ("p", *HEADINGS) and n.size and (main is None or id(n) in inside):
-            prose.update(n.hash.to_bytes(8, "little"))
+    said = [n for n in nodes if n.tag in ("p", *HEADINGS) and n.size and (main is None or id(n) in inside)]
+    for n in said:
+        prose.update(n.hash.to_bytes(8, "little"))
+    if not said:
+        prose.update(extract_text(source).encode("utf-8", "surrogatepass"))
     return prose.intdigest(), sorted(found)
 
 

@@ -283,3 +283,10 @@ def test_templates_do_not_depend_on_the_size_of_the_host(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.main_text for r in html_extract.extract(pages, F.col("html"), url_filter.host_and_path(F.col("url"))[0]).collect()}
     assert got == {i: f"Story {i % 1000} It is not {i % 1000}" for i, _, _ in rows}
+
+
+def test_pages_without_paragraphs_count_as_different():
+    """Where no paragraph or heading tells pages apart, their texts do; equal texts still count once."""
+    pages = [f"<body><div>Story {i}</div><table><tr><td>cell {i}</table><div>Call 555 today</div></body>" for i in (0, 1, 2, 3, 3)]
+    assert len({html_extract.candidates(p)[0] for p in pages}) == 4
+    assert len({html_extract.candidates(p)[0] for p in (None, "", "<p></p>")}) == 1
