@@ -2,24 +2,31 @@
 
 Every element subtree is hashed (tag, class, id, role, text and children); the subtrees of
 all pages are counted for each host in Spark, and those that recur on MIN_PAGES different pages
-of their host or more, whatever the host's size, are deleted: menus, notices, adverts and footers repeat, articles do not. Pages that
-carry the same prose (their text, where they have no paragraph or heading) count once, so that copies of an article never make it a template,
-and paragraphs and headings inside an article are never deleted by this count, nor are
-links and emphasis in the midst of a text. Where a host
-has too few pages for the count, elements that say what they are (nav, footer, aside, form,
-role and class names) go by their own word; an <article> or main element, where there is
-one, bounds what is kept.
+of their host or more, whatever the host's size, are deleted from the whole page: menus, notices,
+adverts and footers repeat, articles do not. Pages that carry the same prose (their text, where
+they have no paragraph or heading) count once, so that copies of an article never make it a
+template, and paragraphs and headings inside an article are never deleted by this count, nor are
+links and emphasis in the midst of a text.
+
+Some content has no words of the page to count or never recurs: scripts, styles, forms and reader
+comments go by their tag or class on every page. What else an element says of itself (nav, footer,
+aside, role and class names, an <article> or main element that bounds the text) is asked only where
+the count leaves text outside the articles of a page: on hosts with too few pages, and for
+furniture that is too rare. Inside an article class names count only as whole names, and never
+on paragraphs and headings. All outermost articles that are no boilerplate are kept.
 
 The text is that of the blocks in page order, character references decoded, white space in
 a block made one space, blocks joined by one space. Null and empty pages give an empty
 text. Malformed markup never fails: unclosed elements end with their parent, and what is
-no tag is text. Pages without a host (null or broken URLs) are not counted together.
+no tag is text. Pages without a host (null or broken URLs) are not counted together. Parsing
+takes time in proportion to a page's length, however it is nested or broken.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,7 +39,11 @@ from tellurion.session import saved
 
 MIN_PAGES = 4
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.DOTALL)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: The rest of a tag; quotes hide a closing bracket. It never steps back.
+REST = re.compile(r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+>""")
+#: After so many tags of a page that never close, quotes hide nothing any more.
+UNCLOSED = 20
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
@@ -48,13 +59,18 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt figcaption td th
 #: Of these, one that has a text beside it is a part of that text.
 INLINE = frozenset("b i em strong span a code".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-DROPPED = frozenset("head title script style noscript template iframe nav footer aside form menu button select textarea input svg dialog object canvas".split())
+#: Never text of an article, whatever the count says.
+NO_TEXT = frozenset("head title script style noscript template iframe form button select textarea input svg dialog object canvas".split())
+DROPPED = NO_TEXT | frozenset("nav footer aside menu".split())
+COMMENTS = frozenset("comment comments reply replies disqus".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 NAMES = frozenset(
     "ad ads adbox adv advert adverts advertisement advertising sponsor sponsored promo promotion menu nav navbar navigation topnav subnav breadcrumb breadcrumbs sidebar "
     "side footer foot cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup share sharing social "
     "related recommended comment comments reply replies disqus login search pagination pager toolbar widget skip masthead copyright".split()
 )
+#: Those that, as a whole class name or id, mark furniture inside an article.
+INNER_NAMES = frozenset("ad ads adbox adv advert adverts advertisement sponsor sponsored promo cookie cookies newsletter subscribe signup share sharing social popup modal".split())
 #: Names of headers, which may also stand in an article and hold its title.
 HEADER_NAMES = frozenset("header topbar banner".split())
 SPACE = re.compile(r"\s+")
@@ -68,54 +84,107 @@ class Node:
     parts: list = field(default_factory=list)  # texts and nodes in order
     hash: int = 0
     size: int = 0  # characters of text below
+    heading: bool = False  # is or holds a heading
+
+
+class Open:
+    """The open elements of a page, and where in the stack those of each tag are."""
+
+    def __init__(self):
+        self.root = Node("#root")
+        self.stack = [self.root]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.places[self.stack.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, tags: tuple[str, ...], bounds: frozenset) -> None:
+        """End the innermost open element of these tags, if no bound stands inside it."""
+        at = self.last(tags)
+        if at and at > self.last(bounds):
+            self.cut(at)
+
+
+def tag_end(text: str, at: int, unclosed: list[int]) -> int:
+    """Where the tag that began before `at` ends, its bracket included; -1 if it never does."""
+    if len(unclosed) < UNCLOSED:
+        m = REST.match(text, at)
+        if m:
+            return m.end()
+        unclosed.append(at)
+    return text.find(">", at) + 1 or -1
 
 
 def parse(source: str | None) -> Node:
     """The element tree of a page; text is decoded."""
-    root = Node("#root")
-    stack, at, text = [root], 0, source or ""
+    text, at, shown, unclosed = source or "", 0, 0, []
+    opened = Open()
+    raw_end: dict[str, re.Pattern] = {}
+
+    def say(end: int) -> None:
+        if end > shown:
+            opened.stack[-1].parts.append(html.unescape(text[shown:end]))
+
+    last_end = text.rfind(">")
     while True:
-        m = TOKEN.search(text, at)
-        piece = text[at : m.start()] if m else text[at:]
-        if piece:
-            stack[-1].parts.append(html.unescape(piece))
-        if m is None:
-            return root
-        at = m.end()
-        if m[2] is None:
+        start = text.find("<", at)
+        if start < 0 or start > last_end:
+            if start >= 0 and (comment := text.find("<!--", start)) >= 0:  # a comment that never ends
+                say(comment)
+            else:
+                say(len(text))
+            return opened.root
+        if text.startswith("<!--", start):
+            say(start)
+            end = text.find("-->", start + 4)
+            shown = at = end + 3 if end >= 0 else len(text)
+            continue
+        if text[start + 1 : start + 2] in ("!", "?") and start + 1 < len(text):
+            say(start)
+            shown = at = text.find(">", start) + 1
+            continue
+        ends = text.startswith("/", start + 1)
+        name = NAME.match(text, start + 1 + ends)
+        if name is None:
+            at = start + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if any(n.tag == tag for n in stack[1:]):
-                while stack.pop().tag != tag:
-                    pass
+        end = tag_end(text, name.end(), unclosed)
+        say(start)
+        shown = at = end
+        tag, rest = name[0].lower(), text[name.end() : end - 1]
+        if ends:
+            if opened.places.get(tag):
+                opened.cut(opened.places[tag][-1])
             elif tag == "p":
-                stack[-1].parts.append(Node("p"))
+                opened.stack[-1].parts.append(Node("p"))
             continue
         if tag in ENDS_P:
-            _close(stack, ("p",), BOUNDS)
+            opened.close(("p",), BOUNDS)
         if tag in CLOSES:
-            _close(stack, CLOSES[tag], BOUNDS)
-        attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[3])} if m[3] else {}
-        names = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
-        node = Node(tag, names, attributes.get("role", "").lower() or attributes.get("itemprop", "").lower())
-        stack[-1].parts.append(node)
-        if tag in VOID or m[3].endswith("/"):
+            opened.close(CLOSES[tag], BOUNDS)
+        attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(rest)} if rest else {}
+        names = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip() if attributes else ""
+        node = Node(tag, names, (attributes.get("role", "") or attributes.get("itemprop", "")).lower() if attributes else "")
+        opened.stack[-1].parts.append(node)
+        if tag in VOID:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(text, at)
-            at = end.end() if end else len(text)
+            if tag not in raw_end:
+                raw_end[tag] = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE)
+            m = raw_end[tag].search(text, at)
+            shown = at = m.end() if m else len(text)
             continue
-        stack.append(node)
-
-
-def _close(stack: list[Node], tags: tuple[str, ...], bounds: frozenset) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in tags:
-            del stack[i:]
-            return
-        if stack[i].tag in bounds:
-            return
+        if rest.endswith("/") and tag not in BLOCK and tag not in INLINE:
+            continue
+        opened.push(node)
 
 
 def in_order(root: Node) -> list[Node]:
@@ -131,36 +200,48 @@ def in_order(root: Node) -> list[Node]:
 def hash_subtrees(nodes: list[Node]) -> None:
     for node in reversed(nodes):
         h = xxhash.xxh64(f"{node.tag}\0{node.names}\0{node.role}\0".encode())
-        size = 0
+        size, node.heading = 0, node.tag in HEADINGS
         for part in node.parts:
             if isinstance(part, Node):
                 h.update(part.hash.to_bytes(8, "little"))
                 size += part.size
+                node.heading |= part.heading
             elif flat := " ".join(part.split()):
                 h.update(b"\1" + flat.encode("utf-8", "surrogatepass"))
                 size += len(flat)
         node.hash, node.size = h.intdigest(), size
 
 
-def said_boilerplate(node: Node) -> bool:
-    """What an element says of itself."""
+def words_in(names: str) -> list[str]:
+    return re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names).lower())
+
+
+def never_text(node: Node) -> bool:
+    """What is no text of an article on any page: forms, scripts and the like, and reader comments."""
+    return node.tag in NO_TEXT or bool(node.names) and node.tag not in PROSE and node.tag not in ("html", "body", "main") and not COMMENTS.isdisjoint(words_in(node.names))
+
+
+def said_boilerplate(node: Node, within: bool = False) -> bool:
+    """What an element says of itself; within: inside an article."""
     if node.tag in DROPPED or node.role in ROLES:
         return True
     if not node.names or node.tag in ("html", "body", "main"):
         return False
-    return not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", node.names).lower()))
+    if within:
+        return node.tag not in PROSE and not INNER_NAMES.isdisjoint(node.names.lower().split())
+    return not NAMES.isdisjoint(words_in(node.names))
 
 
 def is_header(node: Node) -> bool:
     return node.tag == "header" or bool(node.names) and node.tag not in HEADINGS and not HEADER_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", node.names.lower()))
 
 
-def main_element(root: Node) -> Node | None:
-    """The largest outermost article outside boilerplate, else the main element."""
+def main_elements(root: Node) -> list[Node]:
+    """The outermost articles outside boilerplate in page order, else the first main element, else none."""
     articles, mains, stack = [], [], [root]
     while stack:
         node = stack.pop()
-        if node is not root and said_boilerplate(node):
+        if node is not root and (never_text(node) or said_boilerplate(node)):
             continue
         if node.tag == "article" or node.role in ("article", "articlebody"):
             articles.append(node)
@@ -168,9 +249,7 @@ def main_element(root: Node) -> Node | None:
         if node.tag == "main" or node.role == "main":
             mains.append(node)
         stack += [p for p in reversed(node.parts) if isinstance(p, Node)]
-    if articles:
-        return max(articles, key=lambda n: n.size)
-    return mains[0] if mains else None
+    return [a for a in articles if a.size] or mains[:1]
 
 
 def in_midst(nodes: list[Node]) -> set[int]:
@@ -178,17 +257,21 @@ def in_midst(nodes: list[Node]) -> set[int]:
     return {id(p) for n in nodes if any(isinstance(p, str) and re.search(r"\w", p) for p in n.parts) for p in n.parts if isinstance(p, Node) and p.tag in INLINE}
 
 
+def below(tops: list[Node]) -> set[int]:
+    """Ids of these nodes and all that are in them."""
+    return {id(n) for top in tops for n in in_order(top)}
+
+
 def candidates(source: str | None) -> tuple[int, list[int]]:
     """A hash of the page's prose, and the hashes of subtrees that may belong to a template."""
     root = parse(source)
     nodes = in_order(root)
     hash_subtrees(nodes)
-    main = main_element(root)
-    inside = set(map(id, in_order(main))) if main else set()
-    midst = in_midst(nodes)
-    found = {n.hash for n in nodes[1:] if n.size and n.tag not in ("html", "body", "head") and not (id(n) in inside and (n is main or n.tag in PROSE)) and id(n) not in midst}
+    mains = main_elements(root)
+    inside, tops, midst = below(mains), set(map(id, mains)), in_midst(nodes)
+    found = {n.hash for n in nodes[1:] if n.size and n.tag not in ("html", "body", "head") and not (id(n) in inside and (id(n) in tops or n.tag in PROSE)) and id(n) not in midst}
     prose = xxhash.xxh64()
-    said = [n for n in nodes if n.tag in ("p", *HEADINGS) and n.size and (main is None or id(n) in inside)]
+    said = [n for n in nodes if n.tag in ("p", *HEADINGS) and n.size and (not mains or id(n) in inside)]
     for n in said:
         prose.update(n.hash.to_bytes(8, "little"))
     if not said:
@@ -196,36 +279,48 @@ def candidates(source: str | None) -> tuple[int, list[int]]:
     return prose.intdigest(), sorted(found)
 
 
+def emit(top: Node, gone: Callable[[Node, bool], bool], inside: set[int]) -> list[str]:
+    """The texts of the blocks of a tree, without the elements that are gone."""
+    blocks: list[list[str]] = [[]]
+    stack: list = [top]
+    while stack:
+        item = stack.pop()
+        if item is None:
+            blocks.append([])
+        elif isinstance(item, str):
+            blocks[-1].append(item)
+        elif item is top or not gone(item, id(item) in inside):
+            if item.tag in BLOCK:
+                blocks.append([])
+                stack.append(None)
+            stack += reversed(item.parts)
+    return [line for line in (" ".join("".join(b).split()) for b in blocks) if line]
+
+
 def extract_text(source: str | None, template: frozenset[int] = frozenset()) -> str:
+    """The text of a page without the subtrees of its host's template.
+
+    Where the count leaves no words outside the articles, it alone has decided. Else what
+    elements say of themselves decides about the rest.
+    """
     root = parse(source)
     nodes = in_order(root)
     hash_subtrees(nodes)
-    main = main_element(root)
-    midst = in_midst(nodes) if template else set()
-    blocks: list[list[str]] = [[]]
+    mains = main_elements(root)
+    inside, tops, midst = below(mains), set(map(id, mains)), in_midst(nodes) if template else set()
 
-    def emit(top: Node) -> None:
-        stack: list = [(top, main is not None)]
-        while stack:
-            item, within = stack.pop()
-            if item is None:
-                blocks.append([])
-            elif isinstance(item, str):
-                blocks[-1].append(item)
-            else:
-                if item is not top:
-                    if item.hash in template and item.size and not (within and item.tag in PROSE) and id(item) not in midst:
-                        continue
-                    if said_boilerplate(item) or is_header(item) and not (within and any(n.tag in HEADINGS for n in in_order(item))):
-                        continue
-                own = item.tag in BLOCK
-                if own:
-                    blocks.append([])
-                    stack.append((None, within))
-                stack += [(p, within) for p in reversed(item.parts)]
-
-    emit(main or root)
-    return " ".join(line for line in (" ".join("".join(b).split()) for b in blocks) if line)
+    def counted(n: Node, within: bool) -> bool:
+        return never_text(n) or n.hash in template and n.size > 0 and id(n) not in tops and not (within and n.tag in PROSE) and id(n) not in midst
+
+    def outside(n: Node, within: bool) -> bool:
+        return id(n) in tops or counted(n, within)
+
+    def said(n: Node, within: bool) -> bool:
+        return counted(n, within) or id(n) not in tops and (said_boilerplate(n, within) or is_header(n) and not (within and n.heading))
+
+    if template and mains and not emit(root, outside, inside):
+        return " ".join(emit(root, lambda n, within: counted(n, within) or within and said(n, within), inside))
+    return " ".join(line for top in mains or [root] for line in emit(top, said, inside))
 
 
 def _signed(values) -> np.ndarray:
