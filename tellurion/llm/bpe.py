@@ -2,7 +2,9 @@
 
 Null texts count as empty. Texts of any length are encoded whole: beyond `long_text` code
 points they are first cut at boundaries that no pre-split match can cross, so the pieces'
-ids, put together, are the ids of the whole text. Decoding gives the raw bytes, which need
+ids, put together, are the ids of the whole text. Runs of BLANKS or more blanks, on which the
+library's matcher runs out of stack, are cut by the pattern's own rule and encoded as the one
+match they are. Decoding gives the raw bytes, which need
 not be valid UTF-8 when ids come from elsewhere. Rows, repeated or not, keep their own
 results; empty tables give empty tables.
 """
@@ -23,6 +25,10 @@ from pyspark.sql import functions as F
 #: pre-split pattern takes at most one blank, at its start, and never mixes letters and digits.
 SAFE = re.compile(r"[!-~](?=[ \n])|[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
 LONG_TEXT = 20_000
+#: The characters with the White_Space property.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANKS = 1000
+BLANK_RUN = re.compile(f"[{WHITE}]{{{BLANKS},}}")
 
 
 @cache
@@ -53,6 +59,17 @@ def encode_text(text: str | None, rank_file: str, pattern: str, long_text: int =
         return []
     if len(text) <= long_text:
         return own.encode_ordinary(text)
+    ids, start = [], 0
+    for run in BLANK_RUN.finditer(text):
+        # All of a run but its last blank is one match, or all of it at the end of the text: \s+(?!\S).
+        end = run.end() - (run.end() < len(text))
+        ids += _encode_stretch(text[start : run.start()], own, long_text)
+        ids += own._encode_single_piece(text[run.start() : end])
+        start = end
+    return ids + _encode_stretch(text[start:], own, long_text)
+
+
+def _encode_stretch(text: str, own, long_text: int) -> list[int]:
     return [i for piece in pieces(text, long_text) for i in own.encode_ordinary(piece)]
 
 
