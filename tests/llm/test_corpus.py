@@ -155,8 +155,9 @@ def covered(texts, least):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_repeats(spark, seed):
+@pytest.mark.parametrize("seed, part_rows", [(0, 20_000), (1, 40), (2, 3)])
+def test_repeats(spark, seed, part_rows):
+    """Small ranges of the sorted suffixes cut through intervals, and lose nothing either."""
     rng = np.random.default_rng(seed)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
     shared = [word(int(n)) for n in rng.integers(30, 90, 6)]
@@ -172,10 +173,18 @@ def test_repeats(spark, seed):
         texts[i] = " ".join(parts)
     texts |= {100: "same " * 300, 101: "same " * 170, 102: "other " * 200, 103: texts[7], 104: "Same " * 49}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r.doc_id: [[s.start, s.end] for s in r.spans] for r in suffix.repeats(df).collect()}
+    got = {r.doc_id: [[s.start, s.end] for s in r.spans] for r in suffix.repeats(df, part_rows=part_rows).collect()}
     assert got == covered(texts, 50)
 
 
+def test_repeats_by_document(spark):
+    """Rows of one id do not repeat each other; rows without an id are told apart by their text."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, a), (1, a + " x"), (2, b), (None, b + " y"), (None, c), (None, c), (3, c[:150])]
+    got = sorted((r.doc_id or 0, len(r.spans)) for r in suffix.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 1), (2, 1)]
+
+
 def test_repeats_on_odd_rows(odd, empty):
     assert {r.doc_id: len(r.spans) for r in suffix.repeats(odd).collect()} == {5: 1, 6: 1}
     assert suffix.repeats(empty).count() == 0
