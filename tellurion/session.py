@@ -69,8 +69,15 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at.getParent(), True)
 
 
+#: Rows and bytes of a batch that goes to a Python worker. Spark's own numbers suit narrow rows; with whole texts, workers
+#: would hold batches of tens of megabytes, several times over.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once for each application, so that their Python workers can import it."""
+    """Send this package to the executors once for each application, so that their Python workers can import it, and bound their batches."""
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     app = f"ship-{spark.sparkContext.applicationId}"
     if app in _own:
         return
