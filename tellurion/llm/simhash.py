@@ -17,7 +17,10 @@ fingerprints, and a later check of texts meets the nearest pairs.
 
 For radii that no exact bands cover, lsh_bands() draws bands by a stated recall, longer and
 more of them as the number of fingerprints grows, so shards stay small. resembling() then
-holds the texts behind each edge against a least resemblance of their shingle sets.
+holds the texts behind each edge against a least resemblance of their shingle sets. Where
+edges fail that check, the forest may have passed over a link that would not: the groups at
+their ends are searched again, each fingerprint for its nearest ones in other groups, more of
+them each time, until a search adds no link.
 
 Trees are not broadcast: together they hold the fingerprints of all documents, which the
 driver must never hold.
@@ -25,6 +28,7 @@ driver must never hold.
 
 from __future__ import annotations
 
+import heapq
 import math
 from array import array
 from collections.abc import Callable
@@ -195,10 +199,29 @@ def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
     return edges
 
 
-def links(prints: DataFrame, bands: Bands, radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """prints(fp string), distinct -> edges (u, v) of fingerprints within the radius that share a shard."""
+def nearest(values: list[int], groups: list, radius: int, most: int) -> list[tuple[int, int]]:
+    """For each value the `most` nearest ones of other groups within the radius, of equal distances the lesser; pairs in order, once."""
+    of = dict(zip(values, groups, strict=True))
+    tree, out = BKTree(), set()
+    for v in of:
+        tree.add(v)
+    for v, own in of.items():
+        out |= {(min(v, w), max(v, w)) for _, w in heapq.nsmallest(most, (x for x in tree.within(v, radius) if of[x[1]] != own))}
+    return sorted(out)
+
+
+def links(prints: DataFrame, bands: Bands, radius: int, shard_rows: int = SHARD_ROWS, most: int | None = None) -> DataFrame:
+    """prints(fp string, group string), distinct -> edges (u, v) of fingerprints within the radius that share a shard.
+
+    They are those of spanning forests, or with `most` each fingerprint's nearest ones in other groups.
+    """
     words, masks = len(bands[0]), np.array(bands, np.uint64)
 
+    def edges_of(held: list[int], groups: list) -> list[tuple[int, int]]:
+        if len(held) < 2:
+            return []
+        return forest(held, radius) if most is None else nearest(held, groups, radius, most)
+
     @F.pandas_udf("array<bigint>")
     def keys(values: pd.Series) -> pd.Series:
         got = np.frombuffer(bytes.fromhex("".join(v[: 16 * words] for v in values)), ">u8").astype(np.uint64).reshape(len(values), words)
@@ -209,34 +232,37 @@ def links(prints: DataFrame, bands: Bands, radius: int, shard_rows: int = SHARD_
 
     def trees(batches):
         held: list[int] = []
+        groups: list = []
         held_key = None
         for batch in batches:
             group = list(zip(batch.band, batch.key, batch.i, batch.j, strict=True))
-            values = batch.fp.tolist()
+            values, of = batch.fp.tolist(), batch["group"].tolist()
             out: list[tuple[int, int]] = []
             start = 0
             for at in range(1, len(group) + 1):
                 if at == len(group) or group[at] != group[start]:
                     if group[start] != held_key:
-                        out += forest(held, radius) if len(held) > 1 else []
-                        held, held_key = [], group[start]
+                        out += edges_of(held, groups)
+                        held, groups, held_key = [], [], group[start]
                     held += [int.from_bytes(v) for v in values[start:at]]
+                    groups += of[start:at]
                     start = at
             yield named(out)
-        yield named(forest(held, radius) if len(held) > 1 else [])
+        yield named(edges_of(held, groups))
 
     def named(edges: list[tuple[int, int]]) -> pd.DataFrame:
         wide = f"0{16 * words}x"
         return pd.DataFrame([(format(a, wide), format(b, wide)) for a, b in edges], columns=["u", "v"], dtype=object)
 
-    rows = prints.select("fp", F.posexplode(keys("fp")).alias("band", "key"))
+    group = F.lit(None).cast("string") if most is None else F.col("group")
+    rows = prints.select("fp", group.alias("group"), F.posexplode(keys("fp")).alias("band", "key"))
     counts = saved(rows.groupBy("band", "key").count().filter(F.col("count") > shard_rows), "shards")
     parts = F.ceil(F.col("count") / shard_rows).cast("int")
     split = counts.select("band", "key", parts.alias("parts"))
     whole = rows.join(split, ["band", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("fp"), "parts").cast("int")
     mate = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("parts") - 1), F.array(part))))
-    placed = whole.withColumn("mate", mate).select("band", "key", F.least(part, "mate").alias("i"), F.greatest(part, "mate").alias("j"), F.unhex("fp").alias("fp"))
+    placed = whole.withColumn("mate", mate).select("band", "key", F.least(part, "mate").alias("i"), F.greatest(part, "mate").alias("j"), F.unhex("fp").alias("fp"), "group")
     dealt = placed.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
     return dealt.mapInPandas(trees, "u string, v string").distinct()
 
@@ -270,6 +296,33 @@ def resembling(edges: DataFrame, rows: DataFrame, texts: DataFrame, width: int,
     return edges.join(first, "u").join(second, "v").filter(alike("text_u", "text_v") >= least).select("u", "v")
 
 
+def grouped(prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """prints(fp, ...) with `group`, the least fingerprint that edges lead to; stored, so that Spark can split a group that many belong to."""
+    member = saved(connected_components(edges), "members")
+    return saved(prints.join(member, prints.fp == member.node, "left").drop("node").withColumn("group", F.coalesce("root", "fp")).drop("root"), "named")
+
+
+def checked_groups(prints: DataFrame, edges: DataFrame, check: Callable[[DataFrame], DataFrame], bands: Bands, radius: int, shard_rows: int) -> DataFrame:
+    """grouped() by the edges that pass the check, the ends of those that fail searched again until that adds no link."""
+    tried = good = None
+    most = 8
+    while True:
+        passed = saved(check(edges), "passed")
+        failed = edges.join(passed, ["u", "v"], "left_anti")
+        if good is not None and passed.isEmpty():
+            return named
+        tried = edges if tried is None else tried.union(edges)
+        good = passed if good is None else good.union(passed)
+        named = grouped(prints, good)
+        ends = failed.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+        of = named.select("fp", "group")
+        again = saved(of.join(of.join(ends, "fp").select("group").distinct(), "group", "left_semi"), "again")
+        if again.isEmpty():
+            return named
+        edges = saved(links(again, bands, radius, shard_rows, most).join(tried, ["u", "v"], "left_anti"), "links")
+        most *= 4
+
+
 def near_duplicates(rows: DataFrame, radius: int, bands: Callable[[int], Bands] | None = None, shard_rows: int = SHARD_ROWS, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """rows(id, fp) -> (id, fp, component): the least id of all rows reachable over links within the radius.
 
@@ -279,10 +332,9 @@ def near_duplicates(rows: DataFrame, radius: int, bands: Callable[[int], Bands]
     """
     prints = saved(rows.groupBy("fp").agg(F.min("id").alias("least")), "prints")
     count = prints.count()
-    edges = links(prints.select("fp"), bands(count) if bands else exact_bands(radius, count), radius, shard_rows)
-    member = saved(connected_components(check(saved(edges, "links")) if check else edges), "members")
-    # Stored, so that Spark can split a component that a large part of all fingerprints belongs to.
-    named = saved(prints.join(member, prints.fp == member.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
-    least = saved(named.groupBy("root").agg(F.min("least").alias("component")), "least")
-    of = named.join(least, "root").select("fp", "component")
+    drawn = bands(count) if bands else exact_bands(radius, count)
+    edges = links(prints.select("fp"), drawn, radius, shard_rows)
+    named = checked_groups(prints, saved(edges, "links"), check, drawn, radius, shard_rows) if check else grouped(prints, edges)
+    least = saved(named.groupBy("group").agg(F.min("least").alias("component")), "least")
+    of = named.join(least, "group").select("fp", "component")
     return rows.join(of, "fp").select("id", "fp", "component")

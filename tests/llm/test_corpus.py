@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -128,6 +129,33 @@ def test_near_duplicates(spark, shard_rows):
     assert got == {(i, fp): least[root[int(fp, 16)]] for i, fp in rows[:-1]} | {(None, "f" * 16): None}
 
 
+def test_links_behind_failed_edges_are_found(spark):
+    """c lies between a and b and fails the check with both; a and b, farther apart, pass it."""
+    rng, rows, rejected = np.random.default_rng(9), [], set()
+    for k in range(40):
+        a = int(rng.integers(0, 2**63))
+        c, b = a ^ 1, a ^ 3
+        a, b, c = (format(v, "016x") for v in (a, b, c))
+        rows += [(3 * k, a), (3 * k + 1, b), (3 * k + 2, c)]
+        rejected |= {tuple(sorted((a, c))), tuple(sorted((b, c)))}
+    bad = spark.createDataFrame(sorted(rejected), "u string, v string").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    for shard_rows in (2048, 5):
+        got = {r.id: r.component for r in simhash.near_duplicates(spark.createDataFrame(rows, "id long, fp string"), 4, shard_rows=shard_rows, check=lambda e: e.join(bad, ["u", "v"], "left_anti")).collect()}
+        assert got == {i: i - 1 if i % 3 == 1 else i for i, _ in rows}
+
+
+def test_nearest_are_brute_force_nearest():
+    rng = np.random.default_rng(12)
+    base = int(rng.integers(0, 2**63))
+    values = sorted({base ^ sum(1 << int(i) for i in rng.choice(64, int(rng.integers(0, 6)), replace=False)) for _ in range(50)})
+    groups = [i % 4 for i in range(len(values))]
+    want = set()
+    for v, g in zip(values, groups, strict=True):
+        near = sorted(((v ^ w).bit_count(), w) for w, h in zip(values, groups, strict=True) if h != g and (v ^ w).bit_count() <= 6)
+        want |= {(min(v, w), max(v, w)) for _, w in near[:3]}
+    assert simhash.nearest(values, groups, 6, 3) == sorted(want)
+
+
 def test_simhash_on_odd_rows(spark, odd, empty):
     rows = odd.select(F.col("doc_id").alias("id"), simhash.fingerprint(F.col("text"), 4).alias("fp"))
     got = {r.id: r.component for r in simhash.near_duplicates(rows, 4).collect()}
@@ -294,6 +322,52 @@ def test_templates_do_not_depend_on_the_size_of_the_host(spark):
     assert got == {i: f"Story {i % 1000} It is not {i % 1000}" for i, _, _ in rows}
 
 
+def test_templates_equal_brute_force(spark):
+    """For each page the hashes of its subtrees that stand on 4 pages or more of its host, copies of one page counted once."""
+    rng = np.random.default_rng(5)
+    bits = ["<nav>Menu {}</nav>", "<div><i>Call</i> {}</div>", "<footer>Foot {}</footer>", "<div><div>Deep {}</div></div>"]
+    rows = []
+    for i in range(80):
+        parts = [b.format(int(rng.integers(0, 4))) for b in bits]
+        story = int(rng.integers(0, 60))
+        rows.append((f"h{i % 3}.com", i, f"<body>{parts[0]}{parts[1]}<article><h1>S {story}</h1><p>said {story}</p>{parts[3]}</article>{parts[2]}</body>"))
+    where, own = {}, {}
+    for host, mark, page in rows:
+        prose, hashes = html_extract.candidates(page)
+        own[host, mark] = set(hashes)
+        for h in hashes:
+            where.setdefault((host, h), set()).add(prose)
+    got = {(r.host, r.mark): set(np.array(r.template, np.int64).view(np.uint64).tolist()) for r in html_extract.templates(spark.createDataFrame(rows, "host string, mark long, html string")).collect()}
+    want = {(host, mark): {h for h in hashes if len(where[host, h]) >= 4} for (host, mark), hashes in own.items()}
+    assert got == {k: v for k, v in want.items() if v} and any(want.values())
+
+
+def test_the_count_decides_before_names_do():
+    nav, odd, ad = "<div>Home | About</div>", "<div class='x'>Call 555</div>", "<div class=ad>Buy</div>"
+    page = "<body>{}<article><h1>Head</h1><p class=social>One</p><div class='related-work'>Two</div><div class='ad'>no</div></article><article><p>Three</p></article>{}{}<div class=comments><p>nice</p></div></body>"
+    full = page.format(nav, odd, ad)
+    hashes = {n.hash for part in (nav, odd, ad) for n in _hashed(part)}
+    assert html_extract.extract_text(full, frozenset(hashes)) == "Head One Two Three"
+    assert html_extract.extract_text(full) == "Head One Two Three"
+    bare = "<body><div>Home | About</div><div>Text of the page</div><form>x</form><div class=comments>nice</div></body>"
+    assert html_extract.extract_text(bare, frozenset(n.hash for n in _hashed(nav))) == "Text of the page"
+    assert html_extract.extract_text("<script src=/x/>var y=1;</script><style>a/</style><p>hi<br/>you") == "hi you"
+
+
+def _hashed(part):
+    nodes = html_extract.in_order(html_extract.parse(part))
+    html_extract.hash_subtrees(nodes)
+    return nodes[1:]
+
+
+@pytest.mark.parametrize("page", ["<b>" * 60_000 + "</i>" * 60_000, "<a " * 200_000, "<a '>' " * 80_000, "<p><select>" + "<b>" * 40_000 + "<h1></h1>" * 40_000, "<!" * 300_000, "<article>" + "<header>" * 40_000 + "<h1>x", "<title>" * 80_000, "<div>" * 60_000, "<!--" * 150_000 + ">", "<a \"" * 100_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    html_extract.candidates(page)
+    html_extract.extract_text(page, frozenset([1]))
+    assert time.process_time() - began < 8  # quadratic ones take minutes
+
+
 def test_pages_without_paragraphs_count_as_different():
     """Where no paragraph or heading tells pages apart, their texts do; equal texts still count once."""
     pages = [f"<body><div>Story {i}</div><table><tr><td>cell {i}</table><div>Call 555 today</div></body>" for i in (0, 1, 2, 3, 3)]

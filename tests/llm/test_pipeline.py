@@ -89,6 +89,15 @@ def test_a_dominant_run_does_not_merge_documents(spark, sf_dir):
     assert left_of(spark, sf_dir, texts) == sorted(least_of_groups(texts)) == list(range(22))
 
 
+def test_documents_are_ids_with_texts(spark, sf_dir):
+    """Different texts of one id are documents of their own; rows that repeat are one; rows without an id come last."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(7, a), (7, b), (3, a), (7, a), (None, b + " more"), (None, c), (None, c), (5, None), (5, ""), (None, " ")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc", F.lit("clash"))
+    left = pipeline.drop_near_duplicates(spark, table, sf_dir).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in left) == sorted([("3", a), ("7", b), ("None", c), ("5", ""), ("5", ""), ("None", " ")])
+
+
 def test_secrets_are_redacted_and_nothing_else(spark, sf_dir, docs):
     out = {r.doc_id: r for r in pipeline.redact_secrets(spark, docs, sf_dir).collect()}
     for r in docs.collect():

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -25,6 +26,32 @@ def test_cut_texts_encode_alike(text, size):
     assert reference_encoding().decode_bytes(ids) == text.encode()
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["   ", "\n\n", "a", "é ", "1", " ", "\u3000", "\xa0", "\x1c", "\t"]), max_size=20).map("".join))
+def test_blank_runs_cut_by_the_pattern(text):
+    kept, bpe.BLANK_RUN = bpe.BLANK_RUN, re.compile(f"[{bpe.WHITE}]{{2,}}")
+    try:
+        assert bpe.encode_text(text, *queries.bpe_files(), long_text=1) == reference_encoding().encode_ordinary(text)
+    finally:
+        bpe.BLANK_RUN = kept
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "x", "a\n" + "\n" * 1_000_000 + " y z", "x" + "\t " * 600_000, "b" * 300_000])
+def test_very_long_runs_come_back(text):
+    ids = bpe.encode_text(text, *queries.bpe_files())
+    assert reference_encoding().decode_bytes(ids) == text.encode()
+
+
+def test_bpe_query_columns(spark, sf_dir):
+    own, texts = reference_encoding(), {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.QUERIES["op7_bpe"](spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = own.encode_ordinary(texts[r.doc_id])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
 def test_bpe_on_odd_rows(spark, odd, empty):
     files = queries.bpe_files()
     ids = bpe.encode(F.col("text"), *files)
@@ -104,6 +131,24 @@ def test_ledger_scans_each_pair_once(spark, odd, empty):
     assert secrets.scan_versions(empty, secrets.new_ledger(spark)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["eyJ" * 200_000, "-----BEGIN A" * 60_000, "token" + " " * 500_000, "token " * 100_000, "AKIA" * 150_000, "eyJaaaaaaaaaaaaa." * 40_000, "-----BEGIN PRIVATE KEY-----AAAAAAAAAAAAAAAAAAA" * 10_000])
+def test_no_rule_is_slow_on_hostile_texts(text):
+    began = time.process_time()
+    for rule in secrets.RULES:
+        rule.spans(text)
+    assert time.process_time() - began < 5
+
+
+def test_secrets_query_columns(spark, sf_dir):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.QUERIES["op3_secrets"](spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        found = plain_spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in found).encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x for k, _, _ in found) for x in ("assign", "access", "hex")]
+
+
 def test_redaction():
     assert secrets.redacted("a secret=12345678 b", [(2, 17, "assign")]) == "a [assign] b"
     assert secrets.redacted("abcdef", [(0, 3, "x"), (2, 5, "y")]) == "[x]f" and secrets.redacted(None, []) is None
