@@ -9,10 +9,12 @@ being taken if that comes nearer to it.
 
 The running sum over a source is built from sums over ranges of the key, so no source, hot
 or not, has to fit one task: there are about sqrt(rows) ranges of about sqrt(rows) rows.
-The choice then is one cut (key, id, size) for each source, and equal rows always fare alike.
+The choice then is one cut (key, id, size) for each source. Rows that agree in these count as
+copies: they are summed before any row is placed, and where the target falls among the copies
+at the cut, some of them are taken and others not, as many as come nearest to the target.
 
 Null sources are a source of their own, the last. Null texts, or texts without words, have
-size 0 and take nothing. Null ids share one random draw. A quality that is null, NaN or not
+size 0 and take nothing. Null ids share one random draw, so those of one size are copies. A quality that is null, NaN or not
 above 0 counts as the least one, 1e-6. Empty tables give empty tables.
 """
 
@@ -52,11 +54,12 @@ def draw_key(doc_id: Column, quality: Column, seed: str) -> Column:
 
 @dataclass
 class Plan:
-    """sources: source, source_size, target, epochs and cut, a row for each source."""
+    """sources: source, source_size, target, epochs and cut (key, id, size, room, copies), a row for each source; tied: some cut takes part of its copies."""
 
     sources: DataFrame
     count: int
     seed: str
+    tied: bool = False
 
     def times(self, rows: DataFrame) -> DataFrame:
         """rows(source, doc_id, size, quality, ...) with source_size, target and times, how often each is taken whole."""
@@ -64,8 +67,26 @@ class Plan:
         side = side.withColumnRenamed("source", "_of")
         joined = rows.join(side, F.col("source").eqNullSafe(F.col("_of")), "left")
         mark = F.struct(draw_key(F.col("doc_id"), F.col("quality"), self.seed).alias("key"), F.col("doc_id").alias("id"), F.col("size").alias("size"))
-        extra = F.coalesce((mark <= F.col("cut")) & (F.col("size") > 0), F.lit(False)).cast("int")
-        return joined.withColumn("times", (F.col("epochs") + extra).cast("int")).drop("_of", "epochs", "cut")
+        cut = F.struct(F.col("cut.key").alias("key"), F.col("cut.id").alias("id"), F.col("cut.size").alias("size"))
+        sized = F.col("cut").isNotNull() & (F.col("size") > 0)
+        extra = F.coalesce((mark <= cut) & sized, F.lit(False)).cast("int")
+        if self.tied:
+            copy = F.coalesce((mark <= cut) & ~(mark < cut) & sized & (F.col("cut.room") < F.col("cut.copies")), F.lit(False))
+            out = joined.filter(~copy).withColumn("_extra", extra).unionByName(self._dealt(joined.filter(copy)))
+        else:
+            out = joined.withColumn("_extra", extra)
+        return out.withColumn("times", (F.col("epochs") + F.col("_extra")).cast("int")).drop("_of", "epochs", "cut", "_extra")
+
+    @staticmethod
+    def _dealt(copies: DataFrame) -> DataFrame:
+        """The first `room` of each source's copies, counted over the tasks that found them; stored first, so that the count stands."""
+        kept = saved(copies.withColumn("_task", F.spark_partition_id()), "copies")
+        sums = kept.groupBy("source", "_task").count()
+        before = F.coalesce(F.sum("count").over(Window.partitionBy("source").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = sums.select(F.col("source").alias("_from"), F.col("_task").alias("_at"), before.alias("_before"))
+        ranked = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("source", "_task").orderBy(F.lit(0))))
+        placed = ranked.join(starts, F.col("source").eqNullSafe(F.col("_from")) & (F.col("_task") == F.col("_at")))
+        return placed.withColumn("_extra", (F.col("_before") + F.col("_rank") <= F.col("cut.room")).cast("int")).drop("_task", "_from", "_at", "_before", "_rank")
 
 
 def targets(slim: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -97,18 +118,21 @@ def plan(slim: DataFrame, seed: str = "mix", weights: tuple[float, ...] = WEIGHT
     side = ready.select(F.col("source").alias("_of"), "rest", F.ceil(F.col("rows") / per_range).alias("ranges"))
     side = F.broadcast(side) if count <= BROADCAST_SOURCES else side
     keyed = slim.filter("size > 0").select("source", "doc_id", "size", draw_key(F.col("doc_id"), F.col("quality"), seed).alias("key"))
+    keyed = keyed.groupBy("source", "doc_id", "size", "key").agg(F.count("*").alias("copies"))
     placed = keyed.join(side, F.col("source").eqNullSafe(F.col("_of"))).filter("rest > 0").drop("_of")
     placed = placed.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * F.col("ranges")))
-    sums = placed.groupBy("source", "range").agg(F.sum("size").alias("inside"))
+    words = F.sum(F.col("size") * F.col("copies"))
+    sums = placed.groupBy("source", "range").agg(words.alias("inside"))
     before = F.sum("inside").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     starts = sums.select(F.col("source").alias("_of"), F.col("range").alias("_range"), F.coalesce(before, F.lit(0)).alias("start"))
     inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    summed = placed.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    summed = placed.withColumn("before", F.coalesce(words.over(inside), F.lit(0)))
     at = summed.join(starts, F.col("source").eqNullSafe(F.col("_of")) & (F.col("range") == F.col("_range")))
-    taken = at.filter(2 * (F.col("start") + F.col("before")) + F.col("size") <= 2 * F.col("rest"))
-    cuts = taken.groupBy("source").agg(F.max(F.struct("key", F.col("doc_id").alias("id"), "size")).alias("cut")).withColumnRenamed("source", "_of")
-    done = ready.join(cuts, F.col("source").eqNullSafe(F.col("_of")), "left").select("source", "source_size", "target", "epochs", "cut")
-    return Plan(saved(done, "cuts"), count, seed)
+    room = F.floor((2 * (F.col("rest") - F.col("start") - F.col("before")) + F.col("size")) / (2 * F.col("size")))
+    taken = at.withColumn("room", F.least(room, F.col("copies"))).filter("room > 0")
+    cuts = taken.groupBy("source").agg(F.max(F.struct("key", F.col("doc_id").alias("id"), "size", "room", "copies")).alias("cut")).withColumnRenamed("source", "_of")
+    done = saved(ready.join(cuts, F.col("source").eqNullSafe(F.col("_of")), "left").select("source", "source_size", "target", "epochs", "cut"), "cuts")
+    return Plan(done, count, seed, not done.filter("cut.room < cut.copies").isEmpty())
 
 
 def mix(slim: DataFrame, **settings) -> DataFrame:

@@ -296,31 +296,32 @@ def resembling(edges: DataFrame, rows: DataFrame, texts: DataFrame, width: int,
     return edges.join(first, "u").join(second, "v").filter(alike("text_u", "text_v") >= least).select("u", "v")
 
 
-def grouped(prints: DataFrame, edges: DataFrame) -> DataFrame:
-    """prints(fp, ...) with `group`, the least fingerprint that edges lead to; stored, so that Spark can split a group that many belong to."""
+def regrouped(named: DataFrame, edges: DataFrame) -> DataFrame:
+    """named(group, ...) with each group replaced by the least one that edges(u, v) of groups lead to; stored, so that Spark can split a group that many belong to."""
     member = saved(connected_components(edges), "members")
-    return saved(prints.join(member, prints.fp == member.node, "left").drop("node").withColumn("group", F.coalesce("root", "fp")).drop("root"), "named")
+    return saved(named.join(member, named.group == member.node, "left").withColumn("group", F.coalesce("root", "group")).drop("node", "root"), "named")
 
 
-def checked_groups(prints: DataFrame, edges: DataFrame, check: Callable[[DataFrame], DataFrame], bands: Bands, radius: int, shard_rows: int) -> DataFrame:
-    """grouped() by the edges that pass the check, the ends of those that fail searched again until that adds no link."""
-    tried = good = None
-    most = 8
+def checked_groups(named: DataFrame, edges: DataFrame, check: Callable[[DataFrame], DataFrame], bands: Bands, radius: int, shard_rows: int) -> DataFrame:
+    """regrouped() by the edges of fingerprints that pass the check; groups at failed ones are searched again until that adds no link.
+
+    A true link that a forest passed over has a path beside it, whose failed edges leave the groups of both its ends.
+    """
+    tried, of, most = None, named.select("fp", "group"), 2
     while True:
         passed = saved(check(edges), "passed")
-        failed = edges.join(passed, ["u", "v"], "left_anti")
-        if good is not None and passed.isEmpty():
+        if tried is not None and passed.isEmpty():
             return named
+        failed = edges.join(passed, ["u", "v"], "left_anti").select(F.explode(F.array("u", "v")).alias("fp")).distinct()
         tried = edges if tried is None else tried.union(edges)
-        good = passed if good is None else good.union(passed)
-        named = grouped(prints, good)
-        ends = failed.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+        u, v = (of.select(F.col("fp").alias(x), F.col("group").alias(f"group_{x}")) for x in "uv")
+        named = regrouped(named, passed.join(u, "u").join(v, "v").select(F.col("group_u").alias("u"), F.col("group_v").alias("v")))
         of = named.select("fp", "group")
-        again = saved(of.join(of.join(ends, "fp").select("group").distinct(), "group", "left_semi"), "again")
+        again = saved(of.join(of.join(failed, "fp").select("group").distinct(), "group", "left_semi"), "again")
         if again.isEmpty():
             return named
         edges = saved(links(again, bands, radius, shard_rows, most).join(tried, ["u", "v"], "left_anti"), "links")
-        most *= 4
+        of, most = again, 2 * most
 
 
 def near_duplicates(rows: DataFrame, radius: int, bands: Callable[[int], Bands] | None = None, shard_rows: int = SHARD_ROWS, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -334,7 +335,8 @@ def near_duplicates(rows: DataFrame, radius: int, bands: Callable[[int], Bands]
     count = prints.count()
     drawn = bands(count) if bands else exact_bands(radius, count)
     edges = links(prints.select("fp"), drawn, radius, shard_rows)
-    named = checked_groups(prints, saved(edges, "links"), check, drawn, radius, shard_rows) if check else grouped(prints, edges)
+    alone = prints.withColumn("group", F.col("fp"))
+    named = checked_groups(alone, saved(edges, "links"), check, drawn, radius, shard_rows) if check else regrouped(alone, edges)
     least = saved(named.groupBy("group").agg(F.min("least").alias("component")), "least")
     of = named.join(least, "group").select("fp", "component")
     return rows.join(of, "fp").select("id", "fp", "component")

@@ -144,16 +144,21 @@ def test_links_behind_failed_edges_are_found(spark):
         assert got == {i: i - 1 if i % 3 == 1 else i for i, _ in rows}
 
 
-def test_nearest_are_brute_force_nearest():
+def test_nearest_against_brute_force():
     rng = np.random.default_rng(12)
     base = int(rng.integers(0, 2**63))
     values = sorted({base ^ sum(1 << int(i) for i in rng.choice(64, int(rng.integers(0, 6)), replace=False)) for _ in range(50)})
-    groups = [i % 4 for i in range(len(values))]
-    want = set()
-    for v, g in zip(values, groups, strict=True):
-        near = sorted(((v ^ w).bit_count(), w) for w, h in zip(values, groups, strict=True) if h != g and (v ^ w).bit_count() <= 6)
-        want |= {(min(v, w), max(v, w)) for _, w in near[:3]}
-    assert simhash.nearest(values, groups, 6, 3) == sorted(want)
+    of = {v: i % 7 for i, v in enumerate(values)}
+    pairs = sorted(((v ^ w).bit_count(), v, w) for v, w in itertools.permutations(values, 2) if of[v] != of[w] and (v ^ w).bit_count() <= 6)
+    got = set(simhash.nearest(values, list(of.values()), 6, 3))
+    assert got <= {(min(v, w), max(v, w)) for _, v, w in pairs} and len(got) <= 7 * 9
+    for g in range(7):
+        near = {}
+        for d, v, w in pairs:
+            if of[v] == g:
+                near.setdefault(of[w], (d, v, w))
+        for _, v, w in sorted(near.values())[:3]:
+            assert (min(v, w), max(v, w)) in got
 
 
 def test_simhash_on_odd_rows(spark, odd, empty):
@@ -268,6 +273,19 @@ def test_mix_targets(spark):
     assert all(abs(got[s][1] - target[s]) < 1e-6 for s in sizes)
 
 
+def test_mix_comes_near_its_targets(spark):
+    """By half a document, also where equal rows, or rows without an id, meet at the cut."""
+    rows = [(None, "a", 200, 1.0)] * 1000 + [(7, "b", 90, 1.0)] * 31 + [(i, "c", 10 + i % 50, 1.0 + i % 3) for i in range(400)] + [(None, None, 5, None)] * 40 + [(9, "c", 0, 1.0)] * 3
+    slim = spark.createDataFrame(rows, "doc_id long, source string, size long, quality double").repartition(6)
+    for settings in ({}, {"range_rows": 7}, {"share": 0.7}):
+        got = mixing.mix(slim, **settings).collect()
+        assert len(got) == len(rows)
+        for source in ("a", "b", "c", None):
+            own = [r for r in got if r.source == source]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= max(r["size"] for r in own) / 2 + 1e-6
+            assert all(0 <= r.taken <= 2 * r["size"] for r in own)
+
+
 def test_mix_on_odd_rows(odd, empty):
     slim = queries.slim_documents(odd)
     rows = mixing.mix(slim, range_rows=1).collect()
