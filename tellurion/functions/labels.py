@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +12,18 @@ from pyspark.sql import functions as F
 EMPTY = "cast(map() as map<string,string>)"
 
 
+def rekeyed(labels: Column, key) -> Column:
+    """The map with key(k, v) for each key; of keys that meet the last one stays, whatever the session does about repeated keys."""
+    pairs = F.transform(F.map_entries(labels), lambda e: F.struct(key(e.key, e.value).alias("key"), e.value.alias("value")))
+    names = F.transform(pairs, lambda e: e.key)
+    return F.map_from_entries(F.filter(pairs, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e.key)))
+
+
+def merged(*maps: Column) -> Column:
+    """One map of several; of equal keys the last map's stays, whatever the session does about repeated keys."""
+    return reduce(lambda old, new: F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new), maps)
+
+
 def canonical(labels: Column) -> Column:
     """Pairs sorted by key, each as key NUL value NUL; null maps and values count as empty."""
     entries = F.array_sort(F.map_entries(F.coalesce(labels, F.expr(EMPTY))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,11 +88,11 @@ def roots(spans: DataFrame) -> DataFrame:
     return spans.filter(own).unionByName(spans.filter(~own).join(known, ["trace_id", "parent_span_id"], "left_anti").select(*spans.columns))
 
 
-def span_tree(spans: DataFrame, deepest: int = 64) -> DataFrame:
+def span_tree(spans: DataFrame) -> DataFrame:
     """spans with depth and place, their position in pre-order within the trace.
 
     Siblings are ordered by start and span id. Spans that no root reaches (cycles) are left
-    out, as are those deeper than `deepest`. One level is one join on (trace, parent).
+    out. One level is one join on (trace, parent), down to the deepest span.
     """
     from tellurion.session import saved
 
@@ -99,7 +101,7 @@ def span_tree(spans: DataFrame, deepest: int = 64) -> DataFrame:
     key = F.struct(F.col("start_unix_nano").alias("start"), F.col("span_id").alias("id"))
     level = saved(roots(slim).select("trace_id", "span_id", F.lit(0).alias("depth"), F.array(key).alias("path")), "level")
     out = level
-    for depth in range(1, deepest + 1):
+    for depth in itertools.count(1):
         up = level.select("trace_id", F.col("span_id").alias("parent_span_id"), "path")
         down = slim.filter("parent_span_id != span_id").join(up, ["trace_id", "parent_span_id"])
         level = saved(down.select("trace_id", "span_id", F.lit(depth).alias("depth"), F.concat("path", F.array(key)).alias("path")), "level")

@@ -123,13 +123,28 @@ def one_bucket(found: list) -> None:
         raise QueryError(1, f"blocks of several buckets in one query: {', '.join(sorted(buckets))}")
 
 
-def check_sql(sql: str) -> str:
-    """Queries only: no definitions, changes or session commands."""
-    bare = re.sub(r"--[^\n]*|/\*.*?\*/", " ", sql, flags=re.DOTALL).strip().rstrip(";")
-    if not re.match(r"(?is)\(*\s*(select|with|values|from|explain)\b", bare):
-        raise QueryError(3, "only queries are accepted")
-    if re.search(r"(?is)^explain\s+(?!.*\b(select|values|from)\b)", bare):
-        raise QueryError(3, "only queries can be explained")
+#: Nodes of a parsed plan that are no query, besides all commands.
+WRITES = ("InsertInto", "ParsedStatement", "OverwriteBy", "OverwritePartitions", "AppendData", "CompoundBody", "SingleStatement")
+
+
+def check_sql(sql: str, spark: SparkSession | None = None) -> str:
+    """Queries only: no definitions, changes or session commands. The parsed plan decides, wherever in it they stand."""
+    spark = spark or SparkSession.active()
+    bare = sql.strip().rstrip(";")
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(bare)
+    except ParseException as e:
+        raise QueryError(2, str(e)) from e
+    command = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
+    todo = [plan]
+    if plan.getClass().getSimpleName() == "ExplainCommand":
+        todo = [plan.logicalPlan()]
+    while todo:
+        node = todo.pop()
+        if command.isInstance(node) or any(w in node.getClass().getSimpleName() for w in WRITES):
+            raise QueryError(3, "only queries are accepted")
+        inner = node.children()
+        todo += [inner.apply(i) for i in range(inner.size())]
     return bare
 
 
@@ -148,7 +163,7 @@ class Engine:
         self.stats = Stats(candidates=len(found))
         if signal == "logs" and spec.body_contains and found:
             sidecar = blocks.read_sidecar(self.spark, "bloom", [b.path for b in found], "block string, bloom binary")
-            out = {r.block for r in sidecar.toLocalIterator() if not bloom.may_contain(r.bloom, spec.body_contains)}
+            out = {r.block for r in sidecar.filter(~bloom.may_hold(F.col("bloom"), spec.body_contains)).select("block").collect()}
             found = [b for b in found if b.block not in out]
         self.stats.after_bloom = len(found)
         return found
@@ -206,7 +221,7 @@ class Engine:
             return rows.limit(spec.limit) if spec.limit is not None else rows
         rows.createOrReplaceTempView(signal)
         try:
-            return self.spark.sql(check_sql(spec.sql))
+            return self.spark.sql(check_sql(spec.sql, self.spark))
         except ParseException as e:
             raise QueryError(2, str(e)) from e
         except AnalysisException as e:

@@ -130,10 +130,10 @@ def frame_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SPANS}, k AS (SELECT DISTINCT trace_id, span_id, parent_span_id, start_ns FROM spans)
 SELECT trace_id, span_id, CASE WHEN parent_span_id IS NULL THEN 0 ELSE 1 END AS depth,
   CASE WHEN parent_span_id IS NULL THEN 1 ELSE 1 + row_number() OVER (PARTITION BY trace_id, parent_span_id ORDER BY start_ns, span_id) END AS place
-FROM k WHERE substr(trace_id, 31, 1) = '4'""")
+FROM k""")
 def span_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth and pre-order place of the spans of the traces whose key ends in 4x; equal spans count once."""
-    rows = signals.spans(spark, sf_dir).filter(F.substring(F.hex("trace_id"), 31, 1) == "4").dropDuplicates(["trace_id", "span_id"])
+    """Depth and pre-order place of every span; equal spans count once."""
+    rows = signals.spans(spark, sf_dir).dropDuplicates(["trace_id", "span_id"])
     tree = analytics.span_tree(rows)
     return tree.select(lower_hex(F.col("trace_id")).alias("trace_id"), lower_hex(F.col("span_id")).alias("span_id"), "depth", F.col("place").cast("long").alias("place"))
 
@@ -347,20 +347,28 @@ def retention_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.reaping_report(maintain.plan_reaping(live_blocks(_catalog_events(spark, sf_dir)), END + 2 * DAY, None, {"logs": 2 * DAY}))
 
 
+def _empty_store(spark: SparkSession) -> tuple[Catalog, str]:
+    root = f"{scratch_dir(spark)}/tellurion-{uuid.uuid4().hex}/store"
+    return Catalog(spark, f"{root}/_catalog"), root
+
+
+def _publish(catalog: Catalog, root: str, signal: str, rows: DataFrame, dimension: DataFrame | None = None, segment: int = 0) -> None:
+    made = blocks.write_block(root, signal, rows, dimension, segment=segment)
+    if made is not None:
+        catalog.insert(made)
+
+
 def _store(spark: SparkSession, sf_dir: str, parts: int = 3) -> tuple[Catalog, str]:
     """Log blocks of the events by remainder of their time, in a new store."""
-    root = f"{scratch_dir(spark)}/tellurion-{uuid.uuid4().hex}/store"
-    catalog = Catalog(spark, f"{root}/_catalog")
-    rows = signals.logs(spark, sf_dir).filter(F.col("ts_unix_nano") < START)
+    catalog, root = _empty_store(spark)
+    rows = signals.logs(spark, sf_dir)
     for i in range(parts):
         part = rows.filter(F.pmod(floor_div(F.col("ts_unix_nano"), 1000), F.lit(parts)) == i)
-        made = blocks.write_block(root, "logs", part, signals.dimension(part, "stream_fingerprint"), segment=i)
-        if made is not None:
-            catalog.insert(made)
+        _publish(catalog, root, "logs", part, signals.dimension(part, "stream_fingerprint"), i)
     return catalog, root
 
 
-@query(f"WITH {LOGS} SELECT event_type, count(*) AS n FROM logs WHERE ts_unix_nano < {START} AND shard = '2' GROUP BY 1")
+@query(f"WITH {LOGS} SELECT event_type, count(*) AS n FROM logs WHERE shard = '2' GROUP BY 1")
 def compaction_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     catalog, root = _store(spark, sf_dir)
@@ -369,7 +377,7 @@ def compaction_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("labels")["event_type"].alias("event_type")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {LOGS} SELECT ts_unix_nano, body FROM logs WHERE ts_unix_nano < {START} AND contains(body, 'user 7 ')")
+@query(f"WITH {LOGS} SELECT ts_unix_nano, body FROM logs WHERE contains(body, 'user 7 ')")
 def grep_bloom_equals_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     catalog, _ = _store(spark, sf_dir)
@@ -381,12 +389,11 @@ def bloom_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A language's bodies as one block; where the needle is in them the filter says so, and its false positives are few."""
     ship_package(spark)
     rows = signals.text_logs(spark, sf_dir).select(F.col("labels")["lang"].alias("block"), "body")
-    probe = F.udf(lambda b: bloom.may_contain(bytes(b), "Released under"), "boolean")
     hits = rows.groupBy(F.col("block").alias("lang")).agg(F.count_if(F.col("body").contains("Released under")).alias("hits"))
-    return hits.join(bloom.build_blooms(rows, 1e-6).select(F.col("block").alias("lang"), probe("bloom").alias("may")), "lang")
+    return hits.join(bloom.build_blooms(rows, 1e-6).select(F.col("block").alias("lang"), bloom.may_hold(F.col("bloom"), "Released under").alias("may")), "lang")
 
 
-@query(f"WITH {LOGS} SELECT count(*) AS row_count, min(ts_unix_nano) AS ts_min, max(ts_unix_nano) AS ts_max FROM logs WHERE ts_unix_nano < {START}")
+@query(f"WITH {LOGS} SELECT count(*) AS row_count, min(ts_unix_nano) AS ts_min, max(ts_unix_nano) AS ts_max FROM logs")
 def block_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     catalog, _ = _store(spark, sf_dir, 1)
@@ -402,6 +409,51 @@ def engine_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.Engine(spark, catalog).run(Q.QuerySpec("logs", end=START - 1, sql=sql))
 
 
+@query("SELECT epoch_us(ts) * 1000 AS ts_unix_nano, value FROM events WHERE event_type = 'click' AND user_id % 8 = 3")
+def stored_metrics_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """metrics_match over stored blocks, of which one is told apart by its postings."""
+    ship_package(spark)
+    catalog, root = _empty_store(spark)
+    rows = signals.event_series(spark, sf_dir)
+    for i, part in enumerate((rows.filter("labels['event_type'] != 'click'"), rows.filter("labels['event_type'] = 'click'"))):
+        _publish(catalog, root, "metrics", part, signals.dimension(part, "series_fingerprint"), i)
+    return Q.Engine(spark, catalog).frame(Q.QuerySpec("metrics", ("event_type=click", "shard=3"))).select("ts_unix_nano", "value")
+
+
+@query(f"WITH {LOGS} SELECT ts_unix_nano, body FROM logs WHERE event_type = 'error' AND ts_unix_nano BETWEEN {START} AND {END}")
+def stored_logs_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks before, in and after the window; both bounds are inclusive."""
+    ship_package(spark)
+    catalog, _ = _store(spark, sf_dir)
+    return Q.Engine(spark, catalog).frame(Q.QuerySpec("logs", ("event_type=error",), START, END, labels=False)).select("ts_unix_nano", "body")
+
+
+@query(f"WITH {SPANS} SELECT span_id, service_name, start_ns FROM spans WHERE trace_id = lpad('1f', 32, '0')")
+def stored_trace_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog, root = _empty_store(spark)
+    _publish(catalog, root, "traces", signals.spans(spark, sf_dir))
+    rows = Q.Engine(spark, catalog).frame(Q.QuerySpec("traces", trace_id="1f".zfill(32)))
+    return rows.select(lower_hex(F.col("span_id")).alias("span_id"), "service_name", F.col("start_unix_nano").alias("start_ns"))
+
+
+@query(f"SELECT page_id * {SECOND} AS ts_unix_nano, md5(html) AS data FROM pages WHERE page_id BETWEEN 20 AND 90")
+def stored_profiles_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog, root = _empty_store(spark)
+    _publish(catalog, root, "profiles", signals.profiles(spark, sf_dir))
+    rows = Q.Engine(spark, catalog).frame(Q.QuerySpec("profiles", start=20 * SECOND, end=90 * SECOND))
+    return rows.select("ts_unix_nano", F.md5("data").alias("data"))
+
+
+@query(f"WITH {LOGS} SELECT CAST(3 AS BIGINT) AS found, CAST(0 AS BIGINT) AS again, count(*) AS row_count FROM logs")
+def catalog_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new catalog finds the blocks of a bucket by their meta files, and none of them twice."""
+    ship_package(spark)
+    _, root = _store(spark, sf_dir)
+    other = Catalog(spark, f"{root}-rebuilt")
+    found, again = (other.reconcile(root).count() for _ in range(2))
+    return other.live("logs").agg(F.sum("row_count").alias("row_count")).select(F.lit(found).cast("long").alias("found"), F.lit(again).cast("long").alias("again"), "row_count")
+
+
 # Streams.
 
 

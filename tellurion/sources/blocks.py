@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,12 +46,19 @@ def write_block(root: str, signal: str, rows: DataFrame, dimension: DataFrame |
     ones (from compaction) are range-partitioned by the sort key, which keeps them sorted overall.
     """
     check(rows, signal)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # a block's rows are made once, for its bounds, its files and its bloom
+    try:
+        return _write(root, signal, rows, dimension, writer, shard, segment, level, block or uuid.uuid4().hex, parts)
+    finally:
+        rows.unpersist()
+
+
+def _write(root: str, signal: str, rows: DataFrame, dimension: DataFrame | None, writer: str, shard: int, segment: int | None, level: int, block: str, parts: int) -> DataFrame | None:
     spark = rows.sparkSession
     schema = schemas.TABLES[signal]
     stats = rows.agg(F.count("*"), F.min(schemas.TIME[signal]), F.max(schemas.TIME[signal]), F.date_format(to_timestamp(F.min(schemas.TIME[signal])), "yyyy/MM/dd")).first()
     if not stats[0]:
         return None
-    block = block or uuid.uuid4().hex
     base = f"{root.rstrip('/')}/{signal}/{stats[3]}/{writer}/{block}"
     sort = schemas.SORT[signal]
     data = rows.select(*(F.col(f.name).cast(f.dataType.simpleString()).alias(f.name) for f in schema))

@@ -11,7 +11,8 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 MAGIC = b"TLBF"
 
@@ -57,6 +58,16 @@ def may_contain(blob: bytes | None, needle: str) -> bool:
     return bool(field[_places(grams, bits, hashes).ravel()].all())
 
 
+def may_hold(blob: Column, needle: str) -> Column:
+    """may_contain() for a column of blooms, asked where they are stored."""
+
+    @F.pandas_udf("boolean")
+    def asked(blobs: pd.Series) -> pd.Series:
+        return pd.Series([may_contain(None if b is None else bytes(b), needle) for b in blobs], dtype=bool)
+
+    return asked(blob)
+
+
 def build_blooms(rows: DataFrame, p: float = 0.01) -> DataFrame:
     """rows(block, body) -> (block, bloom).
 

@@ -1,8 +1,8 @@
 """The block catalog: an append-only log of events, folded to the live set when read.
 
-Tables under one root: events/ (created, superseded, deleted), watermarks/ (high-water marks
-of ingest segments, monotone and kept apart from blocks, because compacted blocks carry
-none) and cursors/. Replayed events change nothing.
+Tables under one root: events/ (created, superseded, deleted) and cursors/. High-water marks of
+ingest segments are a fold of the created events, superseded and deleted blocks included, so
+they never fall; compacted blocks carry none. Replayed events change nothing.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from tellurion import schemas
 
-MARKS = "writer string, signal string, shard int, high bigint"
 CURSORS = "peer string, position string"
 SNAPSHOT_VERSION = 1
 
@@ -38,10 +37,7 @@ class Catalog:
         return self._table("events", schemas.CATALOG_EVENTS)
 
     def insert(self, blocks: DataFrame) -> None:
-        """Publish blocks. Their high-water marks are written first: a crash between the two leaves
-        marks without blocks, which ingest repairs when it repeats the batch."""
-        marks = blocks.filter("writer is not null and segment is not null").groupBy("writer", "signal", "shard").agg(F.max("segment").alias("high"))
-        self._append("watermarks", marks)
+        """Publish blocks. One append makes a block and its high-water mark known together: marks are read from the events."""
         self._event("created", blocks)
 
     def _event(self, kind: str, blocks: DataFrame) -> None:
@@ -65,7 +61,7 @@ class Catalog:
         return created_blocks(self.events())
 
     def watermarks(self) -> DataFrame:
-        return self._table("watermarks", MARKS).groupBy("writer", "signal", "shard").agg(F.max("high").alias("high"))
+        return marks(self.events())
 
     def set_cursor(self, peer: str, position: str) -> None:
         self._append("cursors", self.spark.createDataFrame([(peer, position)], CURSORS))
@@ -83,14 +79,22 @@ class Catalog:
         self._append("events", rows.select(*schemas.CATALOG_EVENTS.names))
 
     def reconcile(self, pattern: str) -> DataFrame:
-        """Blocks from the *.meta.json files under a bucket; bad files and repeated blocks are passed over."""
-        found = self.spark.read.schema(schemas.BLOCKS).option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.meta.json").json(pattern)
-        sound = found.filter("block is not null and signal is not null and ts_min is not null and path is not null").filter(~F.input_file_name().contains("/_catalog/"))
+        """Blocks from the meta files under a bucket, <block>.meta.json or the files in <block>.meta; bad files and repeated blocks are passed over."""
+        found = self.spark.read.schema(schemas.BLOCKS).option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(pattern)
+        file = F.col("_metadata.file_path")
+        found = found.filter(file.rlike(r"\.meta(/[^/]*)?\.json$|\.meta/[^/]*$") & ~file.contains("/_catalog/"))
+        sound = found.filter("block is not null and signal is not null and ts_min is not null and path is not null")
         fresh = sound.dropDuplicates(["block"]).join(self.blocks().select("block"), "block", "left_anti")
         self._event("created", fresh)
         return fresh
 
 
+def marks(events: DataFrame) -> DataFrame:
+    """The highest segment that each writer's blocks of a signal and shard were made from."""
+    made = events.filter("event = 'created' and writer is not null and segment is not null")
+    return made.groupBy("writer", "signal", "shard").agg(F.max("segment").cast("long").alias("high"))
+
+
 def created_blocks(events: DataFrame) -> DataFrame:
     """Blocks by their first creation."""
     first = Window.partitionBy("block").orderBy("at")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tellurion.functions.labels import EMPTY, fingerprint, matches
+from tellurion.functions.labels import EMPTY, fingerprint, matches, merged, rekeyed
 from tellurion.functions.time import rfc3339_nanos
 
 LINE = r"(?s)^(\S+) (stdout|stderr) ([FP])(?::\S*)? (.*)$"
@@ -52,7 +52,7 @@ def all_fields(body: Column) -> Column:
 
 def _fields(body: Column) -> Column:
     parsed = F.from_json(F.when(F.trim(body).startswith("{"), body), "map<string,string>")
-    return F.coalesce(parsed, F.expr(EMPTY))
+    return rekeyed(F.coalesce(parsed, F.expr(EMPTY)), lambda k, v: k)  # a body may name a field twice
 
 
 def message(body: Column, field: str) -> Column:
@@ -67,9 +67,9 @@ def stream_labels(pod_labels: Column, core: Column, fields: Column, label_map: d
     k8s = F.transform_keys(pod_labels, lambda k, v: F.concat(F.lit("k8s_"), k))
     constant = lambda d: F.create_map(*(F.lit(x) for p in d.items() for x in p)) if d else F.expr(EMPTY)
     renames = constant(label_map)
-    renamed = F.transform_keys(F.map_filter(pod_labels, lambda k, v: F.map_contains_key(renames, k)), lambda k, v: renames[k])
+    renamed = rekeyed(F.map_filter(pod_labels, lambda k, v: F.map_contains_key(renames, k)), lambda k, v: renames[k])
     picked = F.map_filter(fields, lambda k, v: k.isin(*json_labels)) if json_labels else F.expr(EMPTY)
-    return F.map_filter(F.map_concat(k8s, renamed, picked, constant(static), core), lambda k, v: v.isNotNull())
+    return F.map_filter(merged(k8s, renamed, picked, constant(static), core), lambda k, v: v.isNotNull())
 
 
 def keep(rows: DataFrame, matchers: list[str], labels: str = "labels") -> DataFrame:

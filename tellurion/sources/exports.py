@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellurion.functions.labels import sanitize_key
+from tellurion.functions.labels import merged, rekeyed, sanitize_key
 from tellurion.functions.time import to_timestamp
 
 ROUTES = ("service.name", "service", "app", "k8s_app")
@@ -15,9 +15,9 @@ ROUTES = ("service.name", "service", "app", "k8s_app")
 
 def push_entries(logs: DataFrame) -> DataFrame:
     """Label-indexed push: sanitised labels as sorted JSON, time as text, line, and metadata with the severity if it is not 0."""
-    clean = F.transform_keys("labels", lambda k, v: sanitize_key(k))
+    clean = rekeyed(F.col("labels"), lambda k, v: sanitize_key(k))
     level = F.when(F.col("severity") != 0, F.create_map(F.lit("severity"), F.col("severity").cast("string"))).otherwise(F.expr("cast(map() as map<string,string>)"))
-    meta = F.map_concat(F.transform_keys("attributes", lambda k, v: sanitize_key(k)), level)
+    meta = merged(rekeyed(F.col("attributes"), lambda k, v: sanitize_key(k)), level)
     as_json = lambda m: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))
     return logs.select(as_json(clean).alias("stream"), F.col("ts_unix_nano").cast("string").alias("ts"), F.col("body").alias("line"), as_json(meta).alias("metadata"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tellurion import schemas
-from tellurion.functions.labels import fingerprint
+from tellurion.functions.labels import fingerprint, merged, rekeyed
 from tellurion.functions.time import floor_div
 
 NAME = re.compile(r"[a-zA-Z_:][a-zA-Z0-9_:]*")
@@ -113,13 +113,13 @@ def relabel(labels: Column, renames: dict[str, str]) -> Column:
     table = F.create_map(*(F.lit(x) for pair in renames.items() for x in pair))
     moved = F.map_filter(labels, lambda k, v: F.map_contains_key(table, k))
     kept = F.map_filter(labels, lambda k, v: ~F.map_contains_key(table, k))
-    return F.map_concat(F.map_filter(kept, lambda k, v: ~k.isin(*renames.values()) | ~F.exists(F.map_keys(moved), lambda m: table[m] == k)), F.transform_keys(moved, lambda k, v: table[k]))
+    return merged(F.map_filter(kept, lambda k, v: ~k.isin(*renames.values()) | ~F.exists(F.map_keys(moved), lambda m: table[m] == k)), rekeyed(moved, lambda k, v: table[k]))
 
 
 def with_target(name: Column, labels: Column, target: Column) -> Column:
     """An exposed series under its target: target labels win, what they would hide is kept as exported_<key>."""
-    exported = F.transform_keys(labels, lambda k, v: F.when(F.map_contains_key(target, k), F.concat(F.lit("exported_"), k)).otherwise(k))
-    return F.map_concat(exported, target, F.create_map(F.lit("__name__"), name))
+    exported = rekeyed(labels, lambda k, v: F.when(F.map_contains_key(target, k), F.concat(F.lit("exported_"), k)).otherwise(k))
+    return merged(exported, target, F.create_map(F.lit("__name__"), name))
 
 
 def scrape_series(samples: DataFrame, scraped_ns: Column) -> DataFrame:
@@ -134,7 +134,7 @@ def scrape_health(targets: DataFrame) -> DataFrame:
     """up and scrape_duration_seconds for each target(target map, ok, seconds, scraped_ns), failed ones too."""
     pair = F.array(F.struct(F.lit("up").alias("n"), F.col("ok").cast("double").alias("v")), F.struct(F.lit("scrape_duration_seconds").alias("n"), F.col("seconds").cast("double").alias("v")))
     rows = targets.select("target", "scraped_ns", F.explode(pair).alias("p"))
-    rows = rows.select(F.map_concat("target", F.create_map(F.lit("__name__"), F.col("p.n"))).alias("labels"), F.col("scraped_ns").alias("ts_unix_nano"), F.col("p.v").alias("value"))
+    rows = rows.select(merged(F.col("target"), F.create_map(F.lit("__name__"), F.col("p.n"))).alias("labels"), F.col("scraped_ns").alias("ts_unix_nano"), F.col("p.v").alias("value"))
     return rows.select(fingerprint(F.col("labels")).alias("series_fingerprint"), "ts_unix_nano", "value", "labels")
 
 

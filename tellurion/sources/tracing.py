@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellurion.functions.labels import EMPTY
+from tellurion.functions.labels import EMPTY, merged
 from tellurion.functions.text import lower_hex
 
 #: One attribute value: at most one of the fields is set. Nested values come as JSON text made by list_text and pairs_text.
@@ -64,10 +64,13 @@ def profile_rows(uploads: DataFrame) -> DataFrame:
     name is app{k=v,...}; durations never fall below zero.
     """
     inner = F.regexp_extract("name", r"\{(.*)\}\s*$", 1)
-    tags = F.when(inner != "", F.str_to_map(F.regexp_replace(inner, r"\s+", ""), F.lit(","), F.lit("="))).otherwise(F.expr(EMPTY))
+    pairs = F.transform(F.split(F.regexp_replace(inner, r"\s+", ""), ","), lambda t: F.split(t, "=", 2))
+    names = F.transform(pairs, lambda p: p[0])
+    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), p[0]))
+    tags = F.map_from_entries(F.transform(last, lambda p: F.struct(p[0].alias("key"), F.try_element_at(p, F.lit(2)).alias("value"))))
     app = F.trim(F.regexp_extract("name", r"^([^{]*)", 1))
     more = F.map_filter(F.create_map(F.lit("service.name"), app, F.lit("spy_name"), F.col("spy_name"), F.lit("sample_rate"), F.col("sample_rate").cast("string")), lambda k, v: v.isNotNull() & (v != ""))
     return uploads.select(
         (F.col("from_s") * 1_000_000_000).alias("ts_unix_nano"), (F.greatest(F.col("until_s") - F.col("from_s"), F.lit(0)) * 1_000_000_000).alias("duration_nano"),
-        F.map_concat(F.map_filter(tags, lambda k, v: (k != "") & v.isNotNull() & ~k.isin("service.name", "spy_name", "sample_rate")), more).alias("labels"), F.lit(1).cast("short").alias("format"), "data",
+        merged(F.map_filter(tags, lambda k, v: (k != "") & v.isNotNull() & ~k.isin("service.name", "spy_name", "sample_rate")), more).alias("labels"), F.lit(1).cast("short").alias("format"), "data",
     )

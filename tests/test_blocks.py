@@ -88,14 +88,19 @@ def test_sql_cache_and_errors(logs):
     spec = QuerySpec("logs", ("env=prod",), sql="SELECT labels['service'] AS s, count(*) AS n FROM logs GROUP BY 1 ORDER BY 1")
     assert logs.fetch(spec).to_pylist() == logs.fetch(spec).to_pylist() == [{"s": "api", "n": 200}, {"s": "db", "n": 100}, {"s": "worker", "n": 100}]
     assert logs.cache.hits == 1
-    for sql, code in (("SELEC 1", 3), ("SELECT (1", 2), ("SELECT nope FROM logs", 3), ("DROP TABLE logs", 3), ("INSERT INTO logs SELECT 1", 3)):
+    for sql, code in (("SELEC 1", 2), ("SELECT (1", 2), ("SELECT nope FROM logs", 3), ("DROP TABLE logs", 3), ("INSERT INTO logs SELECT 1", 3)):
         with pytest.raises(QueryError) as e:
             logs.run(QuerySpec("logs", sql=sql))
         assert e.value.code == code, sql
     with pytest.raises(QueryError) as e:
         logs.run(QuerySpec("logs", live=True))
     assert e.value.code == 5
-    assert check_sql("-- x\nWITH a AS (SELECT 1) SELECT * FROM a;").startswith("WITH")
+    for sql in ("-- x\nWITH a AS (SELECT 1) SELECT * FROM a;", "EXPLAIN SELECT 1", "FROM logs SELECT body", "VALUES (1)", "SELECT '-- INSERT INTO t' AS s", "(SELECT 1) UNION ALL SELECT 2"):
+        assert check_sql(sql)
+    for sql in ("WITH q AS (SELECT 1) INSERT INTO t SELECT * FROM q", "FROM x INSERT OVERWRITE TABLE y SELECT *", "FROM x INSERT INTO a SELECT * INSERT INTO b SELECT *", "EXPLAIN INSERT INTO t SELECT 1", "MERGE INTO a USING b ON a.x = b.x WHEN MATCHED THEN DELETE", "SET x = 1", "CACHE TABLE logs", "CREATE TABLE t AS SELECT 1", "SHOW TABLES"):
+        with pytest.raises(QueryError) as e:
+            check_sql(sql)
+        assert e.value.code == 3, sql
 
 
 def test_limit_only_without_sql(logs):

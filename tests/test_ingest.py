@@ -64,3 +64,22 @@ def test_span_tree(spark):
 def test_layout_of_an_empty_window(spark):
     r = analytics.span_layout(spans(spark, [("t", "x", None, 5, 5)])).first()
     assert (r.left, r.width) == (0.0, 1.0)
+
+
+def test_maps_merge_under_any_policy(spark):
+    """Later maps win and keys that meet keep the last value, though the session forbids repeated keys."""
+    from pyspark.sql import functions as F
+
+    from tellurion.functions.labels import merged, rekeyed
+    from tellurion.sources.container_logs import all_fields
+
+    assert spark.conf.get("spark.sql.mapKeyDedupPolicy") == "EXCEPTION"
+    df = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3"}, {"a.b": "x", "a_b": "y", "c": None}, '{"k": "1", "k": "2", "n": {"m": 1}, "z": null}')], "x map<string,string>, y map<string,string>, z map<string,string>, body string")
+    r = df.select(merged(F.col("x"), F.col("y")).alias("m"), rekeyed(F.col("z"), lambda k, v: F.regexp_replace(k, r"\.", "_")).alias("r"), merged(all_fields(F.col("body")), F.col("y")).alias("f")).first()
+    assert r.m == {"a": "1", "b": "3"} and r.r == {"a_b": "y", "c": None} and r.f == {"k": "2", "n": '{"m":1}', "b": "3"}
+
+
+def test_deep_trees_keep_every_span(spark):
+    rows = [(b"t" * 16, i.to_bytes(8, "big"), (i - 1).to_bytes(8, "big") if i else None, i) for i in range(80)]
+    deep = spark.createDataFrame(rows, "trace_id binary, span_id binary, parent_span_id binary, start_unix_nano long")
+    assert sorted(r.depth for r in analytics.span_tree(deep).collect()) == list(range(80))
