@@ -19,8 +19,8 @@ For radii that no exact bands cover, lsh_bands() draws bands by a stated recall,
 more of them as the number of fingerprints grows, so shards stay small. resembling() then
 holds the texts behind each edge against a least resemblance of their shingle sets. Where
 edges fail that check, the forest may have passed over a link that would not: the groups at
-their ends are searched again, each fingerprint for its nearest ones in other groups, more of
-them each time, until a search adds no link.
+their ends are searched again, in each shard each group for its NEAREST nearest pairs with its
+nearest other groups, until a search adds no link.
 
 Trees are not broadcast: together they hold the fingerprints of all documents, which the
 driver must never hold.
@@ -28,7 +28,6 @@ driver must never hold.
 
 from __future__ import annotations
 
-import heapq
 import math
 from array import array
 from collections.abc import Callable
@@ -46,6 +45,8 @@ from tellurion.session import saved
 #: Odd multipliers that derive further words of a fingerprint from the first hash.
 MIX = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 SHARD_ROWS = 2048
+#: In a further search of a shard, a group's nearest other groups, and its pairs with each.
+NEAREST = 2
 #: Bands as lists of masks, one mask for each word of a fingerprint.
 Bands = list[tuple[int, ...]]
 #: Up to so many ends of edges (some 150 bytes each) are broadcast to the texts; beyond that both sides are shuffled.
@@ -199,21 +200,33 @@ def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
     return edges
 
 
+def _few(pairs: list[tuple], most: int) -> list[tuple]:
+    """Of pairs (distance, value, near value, near group), `most` for each of the `most` nearest groups."""
+    kept: dict = {}
+    for p in sorted(pairs):
+        if (own := kept.get(p[3])) is None:
+            if len(kept) < most:
+                kept[p[3]] = [p]
+        elif len(own) < most:
+            own.append(p)
+    return [p for own in kept.values() for p in own]
+
+
 def nearest(values: list[int], groups: list, radius: int, most: int) -> list[tuple[int, int]]:
-    """For each value the `most` nearest ones of other groups within the radius, of equal distances the lesser; pairs in order, once."""
+    """For each group its nearest pair within the radius with each of its `most` nearest other groups, and up to `most` - 1 more with each; pairs in order, once."""
     of = dict(zip(values, groups, strict=True))
-    tree, out = BKTree(), set()
+    tree, near = BKTree(), {}
     for v in of:
         tree.add(v)
     for v, own in of.items():
-        out |= {(min(v, w), max(v, w)) for _, w in heapq.nsmallest(most, (x for x in tree.within(v, radius) if of[x[1]] != own))}
-    return sorted(out)
+        near.setdefault(own, []).extend(_few([(d, v, w, of[w]) for d, w in tree.within(v, radius) if of[w] != own], most))
+    return sorted({(min(v, w), max(v, w)) for pairs in near.values() for _, v, w, _ in _few(pairs, most)})
 
 
 def links(prints: DataFrame, bands: Bands, radius: int, shard_rows: int = SHARD_ROWS, most: int | None = None) -> DataFrame:
     """prints(fp string, group string), distinct -> edges (u, v) of fingerprints within the radius that share a shard.
 
-    They are those of spanning forests, or with `most` each fingerprint's nearest ones in other groups.
+    They are those of spanning forests, or with `most` each group's nearest ones to its nearest groups.
     """
     words, masks = len(bands[0]), np.array(bands, np.uint64)
 
@@ -305,23 +318,29 @@ def regrouped(named: DataFrame, edges: DataFrame) -> DataFrame:
 def checked_groups(named: DataFrame, edges: DataFrame, check: Callable[[DataFrame], DataFrame], bands: Bands, radius: int, shard_rows: int) -> DataFrame:
     """regrouped() by the edges of fingerprints that pass the check; groups at failed ones are searched again until that adds no link.
 
-    A true link that a forest passed over has a path beside it, whose failed edges leave the groups of both its ends.
+    A true link that a forest passed over has a path beside it, which leaves the groups of both
+    its ends by failed edges between groups. Failed edges inside a group hide nothing.
     """
-    tried, of, most = None, named.select("fp", "group"), 2
+    tried, of = None, named.select("fp", "group")
+
+    def between(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        """pairs(u, v) of fingerprints as pairs of their groups."""
+        u, v = (of.select(F.col("fp").alias(x), F.col("group").alias(f"group_{x}")) for x in "uv")
+        return pairs.join(u, "u").join(v, "v").select(F.col("group_u").alias("u"), F.col("group_v").alias("v"))
+
     while True:
         passed = saved(check(edges), "passed")
         if tried is not None and passed.isEmpty():
             return named
-        failed = edges.join(passed, ["u", "v"], "left_anti").select(F.explode(F.array("u", "v")).alias("fp")).distinct()
         tried = edges if tried is None else tried.union(edges)
-        u, v = (of.select(F.col("fp").alias(x), F.col("group").alias(f"group_{x}")) for x in "uv")
-        named = regrouped(named, passed.join(u, "u").join(v, "v").select(F.col("group_u").alias("u"), F.col("group_v").alias("v")))
+        named = regrouped(named, between(passed, of))
         of = named.select("fp", "group")
-        again = saved(of.join(of.join(failed, "fp").select("group").distinct(), "group", "left_semi"), "again")
+        failed = between(edges.join(passed, ["u", "v"], "left_anti"), of).filter("u != v").select(F.explode(F.array("u", "v")).alias("group")).distinct()
+        again = saved(of.join(failed, "group", "left_semi").select("fp", "group"), "again")
         if again.isEmpty():
             return named
-        edges = saved(links(again, bands, radius, shard_rows, most).join(tried, ["u", "v"], "left_anti"), "links")
-        of, most = again, 2 * most
+        edges = saved(links(again, bands, radius, shard_rows, NEAREST).join(tried, ["u", "v"], "left_anti"), "links")
+        of = again
 
 
 def near_duplicates(rows: DataFrame, radius: int, bands: Callable[[int], Bands] | None = None, shard_rows: int = SHARD_ROWS, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
