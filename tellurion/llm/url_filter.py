@@ -5,10 +5,14 @@ Each model is a Markov model of variable order: the chance of a character after
 predecessors leans on that after one, which leans on that after none, each with `pull`
 imaginary counts; a context seen fewer than `least` times is passed over for the shorter
 one. Characters fold to 40 symbols, so a model has at most 40 ** 3 = 64,000 rows however
-many URLs there are; that bound lets it be broadcast. A URL is blocked if the difference of
-its log-likelihoods (rejected minus accepted), divided by its length, exceeds a threshold
-that lies as many standard deviations above the accepted URLs' mean as below the rejected
-ones'. Without both classes of examples everything that the rules leave open is allowed.
+many URLs there are; that bound lets it be broadcast. The examples are the URLs that the rules
+decide: those they block train the rejected model, those they allow the accepted one. Three
+sixteenths of them, by a hash of the URL, are held out for the threshold. A URL is blocked if
+the difference of its log-likelihoods (rejected minus accepted), divided by its length,
+exceeds a threshold that lies as many standard deviations above the mean of the accepted
+held-out URLs as below that of the rejected ones. Without held-out and other examples of both
+classes everything that the rules leave open is allowed. held_out_errors() counts the held-out
+URLs that fall on the wrong side.
 
 Null URLs and URLs without :// have an empty host and path. Repeated URLs are scored once.
 """
@@ -25,8 +29,8 @@ from tellurion.session import saved
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 SYMBOLS = 39
-#: Whole words in a host that mark a URL as an example of the rejected ones; all others are examples of accepted ones.
-REJECTED_WORDS = ("ads", "adult", "bets", "betting", "casino", "cheap", "gambling", "pills", "poker", "porn", "spam", "track", "viagra", "xxx")
+#: URLs whose md5 begins with a lesser digit are held out.
+HELD_OUT_BELOW = "3"
 
 
 @dataclass(frozen=True)
@@ -89,34 +93,49 @@ def model(counts: DataFrame, pull: float = 4.0, least: int = 3) -> DataFrame:
     return counts.select("gram", (F.log(chance("bad")) - F.log(chance("good"))).alias("ratio"))
 
 
-def _marked(words: tuple[str, ...]) -> str:
-    return rf"(^|[.-])({'|'.join(words)})([.-]|$)"
+def scored(pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, float | None]:
+    """Each different URL once: (url, by, bad, held, score), stored, and the threshold, None without examples of both classes.
 
-
-def judge(pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES, rejected_words: tuple[str, ...] = REJECTED_WORDS) -> DataFrame:
-    """pages(url, ...) -> (row, host, path, rule, verdict, score); row is the page's own row, score is null where a rule decides."""
+    by is what the rules say; bad is 1 for examples of the rejected ones, 0 for accepted ones, else null.
+    """
     host, path = host_and_path(F.col(url))
     sites = pages.select(F.col(url).alias("url")).distinct().select("url", host.alias("host"), path.alias("path"))
-    sites = sites.select("url", "host", "path", decided(F.col("host"), F.col("path"), rules).alias("by"), folded(F.col("host"), F.col("path")).alias("text"))
-    bad = F.col("host").rlike(_marked(rejected_words)) if rejected_words else F.lit(False)
-    sites = saved(sites.withColumn("bad", bad.cast("int")), "sites")
-    counts = sites.select("bad", F.explode(grams(F.col("text"))).alias("gram")).groupBy("gram").agg(F.sum(1 - F.col("bad")).alias("good"), F.sum("bad").alias("bad"))
+    sites = sites.select("url", decided(F.col("host"), F.col("path"), rules).alias("by"), folded(F.col("host"), F.col("path")).alias("text"))
+    held = F.substring(F.md5(F.coalesce("url", F.lit(""))), 1, 1) < HELD_OUT_BELOW
+    sites = saved(sites.withColumns({"bad": F.when(F.col("by").isNotNull(), (F.col("by.verdict") == "block").cast("int")), "held": held}), "sites")
+    learnt = F.when(~F.col("held"), F.col("bad"))
+    number = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    # N-grams of all URLs, those that no example has with counts of 0.
+    counts = sites.select(learnt.alias("bad"), F.explode(grams(F.col("text"))).alias("gram")).groupBy("gram").agg(number(1 - F.col("bad")).alias("good"), number(F.col("bad")).alias("bad"))
     ratios = saved(model(counts), "model")
-    scored = sites.select("url", "by", "bad", (F.length("text") - 2).alias("n"), F.explode(grams(F.col("text"))).alias("gram")).join(F.broadcast(ratios), "gram")
-    scored = scored.groupBy("url").agg(F.first("by").alias("by"), F.first("bad").alias("bad"), F.round(F.sum("ratio") / F.first("n"), 6).alias("score"))
-    scored = saved(scored, "scores")
-    g = {r.bad: (r.mean, r.spread) for r in scored.groupBy("bad").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("spread")).collect()}
-    if len(g) == 2 and g[1][0] > g[0][0]:
-        spread = g[0][1] + g[1][1]
-        threshold = g[0][0] + (g[1][0] - g[0][0]) * (g[0][1] / spread if spread else 0.5)
-    else:
-        threshold = None
+    rows = sites.select("url", "by", "bad", "held", (F.length("text") - 2).alias("n"), F.explode(grams(F.col("text"))).alias("gram")).join(F.broadcast(ratios), "gram")
+    rows = rows.groupBy("url").agg(F.first("by").alias("by"), F.first("bad").alias("bad"), F.first("held").alias("held"), F.round(F.sum("ratio") / F.first("n"), 6).alias("score"))
+    rows = saved(rows, "scores")
+    g = {(r.held, r.bad): (r.mean, r.spread) for r in rows.filter("bad is not null").groupBy("held", "bad").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("spread")).collect()}
+    if len(g) < 4 or g[True, 1][0] <= g[True, 0][0]:
+        return rows, None
+    (low, below), (high, above) = g[True, 0], g[True, 1]
+    return rows, low + (high - low) * (below / (below + above) if below + above else 0.5)
+
+
+def judge(pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """pages(url, ...) -> (row, host, path, rule, verdict, score); row is the page's own row, score is null where a rule decides."""
+    found, threshold = scored(pages, url, rules)
     blocked = F.lit(False) if threshold is None else F.col("score") > threshold
-    verdicts = scored.select(F.col("url").alias("_url"), F.col("by.rule").alias("rule"), F.coalesce("by.verdict", F.when(blocked, "block").otherwise("allow")).alias("verdict"), F.when(F.col("by").isNull(), F.col("score")).alias("score"))
+    verdicts = found.select(F.col("url").alias("_url"), F.col("by.rule").alias("rule"), F.coalesce("by.verdict", F.when(blocked, "block").otherwise("allow")).alias("verdict"), F.when(F.col("by").isNull(), F.col("score")).alias("score"))
+    host, path = host_and_path(F.col(url))
     rows = pages.select(F.struct("*").alias("row"), F.col(url).alias("url"), host.alias("host"), path.alias("path"))
     return rows.join(verdicts, rows.url.eqNullSafe(verdicts["_url"])).select("row", "host", "path", "rule", "verdict", "score")
 
 
+def held_out_errors(pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES) -> dict[str, tuple[int, int]]:
+    """Of the held-out URLs that the rules allow and block: how many there are, and how many the models alone would judge otherwise."""
+    found, threshold = scored(pages, url, rules)
+    blocked = F.lit(False) if threshold is None else F.col("score") > threshold
+    n = found.filter("held and bad is not null").groupBy("bad").agg(F.count("*").alias("n"), F.count_if(blocked.cast("int") != F.col("bad")).alias("wrong")).collect()
+    return {("allow", "block")[r.bad]: (r.n, r.wrong) for r in n}
+
+
 def _sql_rules(rules: tuple[Rule, ...], part: str) -> str:
     cases = " ".join(
         f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.text if part == 'rule' else r.verdict}'"
@@ -132,10 +151,10 @@ WITH pages2 AS (
 sites AS (
   SELECT url, {_sql_rules(RULES, "rule")} AS rule, {_sql_rules(RULES, "verdict")} AS by_rule,
     '^^' || regexp_replace(translate(host || path, '{UPPER}123456789', '{LOWER}000000000'), '[^a-z0./_%~:@=+-]', '*', 'g') || '$' AS text,
-    CASE WHEN regexp_matches(host, '{_marked(REJECTED_WORDS)}') THEN 1 ELSE 0 END AS bad
+    CASE {_sql_rules(RULES, "verdict")} WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS bad, substr(md5(coalesce(url, '')), 1, 1) < '{HELD_OUT_BELOW}' AS held
   FROM (SELECT DISTINCT url, host, path FROM pages2)),
-placed AS (SELECT url, bad, length(text) - 2 AS n, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3))) AS gram FROM sites),
-counts AS (SELECT gram, sum(1 - bad) AS good, sum(bad) AS bad FROM placed GROUP BY gram),
+placed AS (SELECT url, bad, held, length(text) - 2 AS n, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3))) AS gram FROM sites),
+counts AS (SELECT gram, coalesce(sum(1 - bad) FILTER (NOT held), 0) AS good, coalesce(sum(bad) FILTER (NOT held), 0) AS bad FROM placed GROUP BY gram),
 sums AS (
   SELECT gram, good, bad,
     sum(good) OVER (PARTITION BY substr(gram, 3, 1)) AS g1, sum(good) OVER () AS g0, sum(good) OVER (PARTITION BY substr(gram, 2, 1)) AS gn,
@@ -150,10 +169,11 @@ twos AS (
 ratios AS (
   SELECT gram, ln(CASE WHEN bf >= 3 THEN (bad + 4.0::DOUBLE * bp2) / (bf + 4.0::DOUBLE) ELSE bp2 END)
     - ln(CASE WHEN gf >= 3 THEN (good + 4.0::DOUBLE * gp2) / (gf + 4.0::DOUBLE) ELSE gp2 END) AS ratio FROM twos),
-scores AS (SELECT url, bad, round(sum(ratio) / any_value(n), 6) AS score FROM placed JOIN ratios USING (gram) GROUP BY url, bad),
+scores AS (SELECT url, placed.bad, held, round(sum(ratio) / any_value(n), 6) AS score FROM placed JOIN ratios USING (gram) GROUP BY url, placed.bad, held),
 means AS (
-  SELECT avg(score) FILTER (bad = 0) AS mg, avg(score) FILTER (bad = 1) AS mb, stddev_pop(score) FILTER (bad = 0) AS sg, stddev_pop(score) FILTER (bad = 1) AS sb FROM scores),
-limits AS (SELECT CASE WHEN mb > mg THEN mg + (mb - mg) * CASE WHEN sg + sb > 0 THEN sg / (sg + sb) ELSE 0.5 END END AS threshold FROM means)
+  SELECT avg(score) FILTER (held AND bad = 0) AS mg, avg(score) FILTER (held AND bad = 1) AS mb, stddev_pop(score) FILTER (held AND bad = 0) AS sg, stddev_pop(score) FILTER (held AND bad = 1) AS sb,
+    count(*) FILTER (NOT held AND bad = 0) AS ng, count(*) FILTER (NOT held AND bad = 1) AS nb FROM scores),
+limits AS (SELECT CASE WHEN mb > mg AND ng > 0 AND nb > 0 THEN mg + (mb - mg) * CASE WHEN sg + sb > 0 THEN sg / (sg + sb) ELSE 0.5 END END AS threshold FROM means)
 SELECT p.page_id, p.host, p.path, s.rule, coalesce(s.by_rule, CASE WHEN c.score > l.threshold THEN 'block' ELSE 'allow' END) AS verdict
 FROM pages2 p JOIN sites s ON p.url IS NOT DISTINCT FROM s.url JOIN scores c ON p.url IS NOT DISTINCT FROM c.url CROSS JOIN limits l
 """

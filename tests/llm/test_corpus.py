@@ -306,6 +306,21 @@ def test_urls(spark):
     assert url_filter.judge(rows.limit(0)).count() == 0
 
 
+def test_urls_on_odd_rows(spark):
+    """Repeated and very long URLs and clashing columns; without examples of both classes all is allowed."""
+    urls = ["http://b.fr/x"] * 5 + ["http://c.fr/" + "y/" * 50_000, None, "", "http://é.fr/😀"]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").selectExpr("*", "'clash' AS host", "'clash' AS score", "'clash' AS by", "'clash' AS bad", "'clash' AS row")
+    got = url_filter.judge(rows).collect()
+    assert len(got) == len(urls) and {r.verdict for r in got} == {"allow"} and all(r.row.host == "clash" for r in got)
+
+
+def test_url_models_learn_what_the_rules_block(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    errors = url_filter.held_out_errors(pages)
+    assert set(errors) == {"allow", "block"} and all(n > 20 and wrong < n / 2 for n, wrong in errors.values())
+    assert sum(wrong for _, wrong in errors.values()) <= 0.25 * sum(n for n, _ in errors.values())
+
+
 PAGE = """<html><head><title>t</title><style>p{{}}</style></head><body><header><a href=/>Home</a></header><nav><ul><li>Menu</ul></nav>
 <div class="cookie-notice">We use cookies</div><main><article><h1>Head &amp; {i}</h1><p>First  <b>bold</b>text<p>Second &lt;{i}&gt;<br>line
 <script>var x = "</p>";</script><aside>Advert</aside><form>Sign <input>up</form><ul><li>one<li>two</ul></article></main>
