@@ -11,7 +11,9 @@ two fingerprints within the radius share at least one shard whatever they are, s
 is lost. Each shard is a BK-tree, built in the task that the shuffle brings it to: children
 are keyed by their integer Hamming distance to the parent, and a query follows only the
 edges within the radius of its own distance. A shard of more than `shard_rows` is split into
-parts, and each pair of parts is a tree of its own; nothing is dropped. Of all its pairs
+parts, and each pair of parts is a tree of its own; one of more than radius + 1 parts is first
+dealt out once more, by blocks of its remaining bits, of which two fingerprints within the
+radius agree in one. Nothing is dropped. Of all its pairs
 within the radius a tree gives the edges of a minimum spanning forest: they link the same
 fingerprints, and a later check of texts meets the nearest pairs.
 
@@ -138,6 +140,17 @@ def lsh_bands(words: int, differing: float, count: int, recall: float = 0.97) ->
     return out[:wanted]
 
 
+def finer_bands(band: tuple[int, ...], radius: int) -> Bands:
+    """The band with each of radius + 1 blocks of the other bits: two values that agree in the band and lie within the radius agree in one of these."""
+    words = len(band)
+    others = [x for x in range(64 * words) if not band[x // 64] >> (x % 64) & 1]
+    out = []
+    for i in range(radius + 1):
+        block = others[len(others) * i // (radius + 1) : len(others) * (i + 1) // (radius + 1)]
+        out.append(tuple(band[w] | sum(1 << (x % 64) for x in block if x // 64 == w) for w in range(words)))
+    return out
+
+
 class BKTree:
     """Nodes are [value, {distance: child}]."""
 
@@ -229,20 +242,29 @@ def links(prints: DataFrame, bands: Bands, radius: int, shard_rows: int = SHARD_
     They are those of spanning forests, or with `most` each group's nearest ones to its nearest groups.
     """
     words, masks = len(bands[0]), np.array(bands, np.uint64)
+    finer = np.array([finer_bands(b, radius) for b in bands], np.uint64)
 
     def edges_of(held: list[int], groups: list) -> list[tuple[int, int]]:
         if len(held) < 2:
             return []
         return forest(held, radius) if most is None else nearest(held, groups, radius, most)
 
-    @F.pandas_udf("array<bigint>")
-    def keys(values: pd.Series) -> pd.Series:
-        got = np.frombuffer(bytes.fromhex("".join(v[: 16 * words] for v in values)), ">u8").astype(np.uint64).reshape(len(values), words)
-        key = got[:, :1] & masks[:, 0]
+    def keyed(values: pd.Series, masks: np.ndarray) -> pd.Series:
+        """For each value a key for each mask; masks: (bands, words), or those of each value."""
+        got = np.frombuffer(bytes.fromhex("".join(v[: 16 * words] for v in values)), ">u8").astype(np.uint64).reshape(len(values), 1, words)
+        key = got[..., 0] & masks[..., 0]
         for w in range(1, words):
-            key = key * np.uint64(MIX[1]) + (got[:, w : w + 1] & masks[:, w])
+            key = key * np.uint64(MIX[1]) + (got[..., w] & masks[..., w])
         return pd.Series(list(key.view(np.int64)), dtype=object)
 
+    @F.pandas_udf("array<bigint>")
+    def keys(values: pd.Series) -> pd.Series:
+        return keyed(values, masks)
+
+    @F.pandas_udf("array<bigint>")
+    def finer_keys(values: pd.Series, band: pd.Series) -> pd.Series:
+        return keyed(values, finer[band.to_numpy()])
+
     def trees(batches):
         held: list[int] = []
         groups: list = []
@@ -269,10 +291,22 @@ def links(prints: DataFrame, bands: Bands, radius: int, shard_rows: int = SHARD_
 
     group = F.lit(None).cast("string") if most is None else F.col("group")
     rows = prints.select("fp", group.alias("group"), F.posexplode(keys("fp")).alias("band", "key"))
-    counts = saved(rows.groupBy("band", "key").count().filter(F.col("count") > shard_rows), "shards")
     parts = F.ceil(F.col("count") / shard_rows).cast("int")
-    split = counts.select("band", "key", parts.alias("parts"))
-    whole = rows.join(split, ["band", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+    def counted(rows: DataFrame) -> tuple[DataFrame, int]:
+        """rows with the parts of their shards, and how many the largest has."""
+        large = saved(rows.groupBy("band", "key").count().filter(F.col("count") > shard_rows).select("band", "key", parts.alias("parts")), "shards")
+        most_parts = large.agg(F.max("parts")).first()[0]
+        if most_parts is None:
+            return rows.withColumn("parts", F.lit(1)), 1
+        return rows.join(large, ["band", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))), most_parts
+
+    whole, most_parts = counted(rows)
+    if most_parts > radius + 1:
+        hot = saved(whole.filter(F.col("parts") > radius + 1).drop("parts"), "hot")
+        again = hot.select("fp", "group", "band", F.posexplode(finer_keys("fp", "band")).alias("block", "key"))
+        again = again.select("fp", "group", (len(bands) + F.col("band") * (radius + 1) + F.col("block")).alias("band"), "key")
+        whole = whole.filter(F.col("parts") <= radius + 1).unionByName(counted(again)[0])
     part = F.pmod(F.xxhash64("fp"), "parts").cast("int")
     mate = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("parts") - 1), F.array(part))))
     placed = whole.withColumn("mate", mate).select("band", "key", F.least(part, "mate").alias("i"), F.greatest(part, "mate").alias("j"), F.unhex("fp").alias("fp"), "group")

@@ -76,6 +76,16 @@ def test_drawn_bands():
         assert np.mean([any(not any(f & m for f, m in zip(x, b, strict=True)) for b in bands) for x in flips]) > 0.955
 
 
+def test_finer_bands_miss_no_pair():
+    rng = np.random.default_rng(2)
+    (band,) = simhash.exact_bands(4, 10**6)[7]
+    finer = simhash.finer_bands((band,), 4)
+    assert all(mask & band == band and mask != band for (mask,) in finer)
+    for _ in range(300):
+        flips = sum(1 << int(b) for b in rng.choice(64, 4, replace=False)) & ~band
+        assert any(not flips & mask for (mask,) in finer)
+
+
 def test_forest_is_least():
     rng = np.random.default_rng(8)
     base = int(rng.integers(0, 2**63))
@@ -112,7 +122,7 @@ def test_tree_finds_all():
         assert sorted(tree.within(q, 4)) == sorted(((v ^ q).bit_count(), v) for v in values if (v ^ q).bit_count() <= 4)
 
 
-@pytest.mark.parametrize("shard_rows", [5, 2048])
+@pytest.mark.parametrize("shard_rows", [3, 20, 2048])
 def test_near_duplicates(spark, shard_rows):
     """Small shards split into pairs of parts, and lose nothing either."""
     rng = np.random.default_rng(6)
