@@ -151,31 +151,55 @@ def merged(rows: DataFrame, key: list[str], part: str, k: int = K) -> DataFrame:
     return narrow.mapInPandas(fold, narrow.schema).groupBy(*key).applyInPandas(lambda group: next(fold(iter([group]))), narrow.schema)
 
 
+def ranges(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Sorted quantiles of the ids as different cuts; for each bucket between them its first part and its parts for the cut id alone; the number of these parts.
+
+    Parts are numbered by descending ids, nulls last. An id that is several quantiles has that
+    many parts, by the hash of the text.
+    """
+    different, times = np.unique(cuts, return_counts=True)
+    alone = np.concatenate(([0], np.where(times > 1, times, 0)))  # bucket i begins with cut i - 1
+    width = 1 + alone
+    first = np.cumsum(width[::-1])[::-1] - width
+    return different, first, alone, int(width.sum())
+
+
 def neighbours(docs: DataFrame, row_bytes: int = 4000, part_bytes: int = 8_000_000) -> DataFrame:
     """docs(doc_id, text) dealt out in ranges of descending doc_id: (part, place, doc_id, text, last).
 
     Each part ends with a copy (`last`) of the first document of the part after it, or of the
     first of all, so that within a part every document meets its successor. Ranges come from
-    quantiles of the ids; rows of one id stay together, ordered by their text. Null ids come last.
+    quantiles of the ids; rows of one id are ordered by the hash of their text, and an id, or the
+    null ids, which come last, with more rows than a part is split by it.
     """
-    total = docs.count()
+    total, nulls = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
     parts = max(1, min(MOST_PARTS, total * row_bytes // part_bytes))
     shares = [i / parts for i in range(1, parts)]
-    cuts = np.unique(np.array(docs.filter("doc_id is not null").approxQuantile("doc_id", shares, 0.1 / parts) if shares else [], np.float64))
+    found = docs.filter("doc_id is not null").approxQuantile("doc_id", shares, 0.1 / parts) if shares else []
+    cuts, first, alone, null_part = ranges(np.array(found, np.float64))
+    null_parts = max(1, -(-nulls * parts // max(total, 1)))
 
     @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), 1, -np.searchsorted(cuts, ids.astype("float64"), side="right")), dtype="int32")
-
-    order = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("down"), F.xxhash64("text").alias("mark"))
-    rows = docs.select("doc_id", "text", place("doc_id").alias("part"), order.alias("order"))
+    def place(ids: pd.Series, marks: pd.Series) -> pd.Series:
+        none = ids.isna().to_numpy()
+        value = ids.astype("float64").to_numpy()
+        share = marks.to_numpy(np.int64) / 2.0**64 + 0.5  # grows with the mark
+        at = np.searchsorted(cuts, np.where(none, -np.inf, value), side="right")
+        cut_id = (at > 0) & (np.append(cuts, np.nan)[at - 1] == value) & (alone[at] > 0)
+        own = first[at] + np.where(cut_id, 1 + np.minimum((share * alone[at]).astype(np.int64), np.maximum(alone[at] - 1, 0)), 0)
+        of_null = null_part + np.minimum((share * null_parts).astype(np.int64), null_parts - 1)
+        return pd.Series(np.where(none, of_null, own), dtype="int32")
+
+    mark = F.xxhash64("text")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("down"), mark.alias("mark"))
+    rows = docs.select("doc_id", "text", place("doc_id", mark).alias("part"), order.alias("order"))
     firsts = rows.groupBy("part").agg(F.min("order").alias("first"))
     of = F.coalesce(F.lag("part").over(Window.orderBy("part")), F.max("part").over(Window.partitionBy()))
-    follow = saved(firsts.select("first", of.alias("of")), "firsts")  # a row for each part, MOST_PARTS + 1 at most
+    follow = saved(firsts.select("first", of.alias("of")), "firsts")  # a row for each part, some MOST_PARTS at most
     copies = rows.join(F.broadcast(follow), F.col("order") == F.col("first")).dropDuplicates(["of"])
     every = rows.withColumn("last", F.lit(False)).union(copies.select("doc_id", "text", F.col("of").alias("part"), "order", F.lit(True)))
     # A task for each part: hashed numbers of parts would put several into one task and leave others empty.
-    return every.repartitionById(len(cuts) + 2, 1 - F.col("part")).sortWithinPartitions("part", "last", "order").select("part", "doc_id", "text", "last")
+    return every.repartitionById(null_part + null_parts, "part").sortWithinPartitions("part", "last", "order").select("part", "doc_id", "text", "last")
 
 
 def against_next(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:

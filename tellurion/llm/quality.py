@@ -2,7 +2,7 @@
 linear model with hinge loss fitted by dual coordinate descent.
 
 Indicators are hashed byte n-grams (1 to 3 bytes) and n-grams over a text's repetition
-pattern (whether a word equals the one before it, whether a line was seen). The class
+pattern (whether a word equals the one before it; 1 to 4 words). The class
 counts behind the ratios are taken over every labelled training row; the linear model is
 fitted on at most `fit_rows` of them, chosen by a hash of the id. Labels that contradict
 each other for one id are left out. Without labels of both classes every score is 0.5.

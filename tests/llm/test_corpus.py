@@ -242,6 +242,41 @@ def test_quality_on_held_out_rows(spark):
     assert (scored[scored.quality == 1].predicted == 1).mean() > 0.97
 
 
+def plain_indicators(text, bits=quality.BITS):
+    """The hashed n-grams of a text, one by one."""
+    raw, out = text.encode(), set()
+    put = lambda code: out.add((code * 2654435761 % 2**32) >> (32 - bits))
+    for n, base in ((1, 0), (2, 0x100), (3, 0x20000)):
+        for i in range(len(raw) - n + 1):
+            put(int.from_bytes(raw[i : i + n]) + base)
+    words = raw.split()
+    same = [int(a == b) for a, b in zip(words, words[1:], strict=False)]
+    for n in (1, 2, 3, 4):
+        for i in range(len(same) - n + 1):
+            put(int("".join(map(str, same[i : i + n])), 2) + 0x2000000 + (0x100 * n if n > 1 else 0))
+    return out
+
+
+def test_quality_scores_equal_brute_force(spark, sf_dir):
+    """Class counts, ratios and every score of the query, recomputed from sets of n-grams."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = queries.training_labels(spark, sf_dir)
+    model = quality.train(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    found = {i: plain_indicators(t) for i, t in texts.items()}
+    good = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in texts}
+    counts = np.ones((2, 1 << quality.BITS))
+    for i, g in good.items():
+        counts[g, sorted(found[i])] += 1
+    used = sorted(set().union(*(found[i] for i in good)))
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    factor = model.weights[used] / ratio[used]
+    assert np.flatnonzero(model.weights).tolist() == [u for u in used if ratio[u]] and np.nanmin(factor) >= -np.nanmax(np.abs(factor))
+    for r in queries.QUERIES["op4_quality"](spark, sf_dir).collect():
+        margin = model.weights[sorted(found[r.doc_id])].sum() + model.bias
+        assert abs(r.score - 1 / (1 + np.exp(-(model.a * margin + model.b)))) < 1e-4 and r.predicted == int(r.score >= 0.3)
+
+
 def test_quality_on_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     model = quality.train(odd, none)

@@ -207,6 +207,51 @@ def test_neighbours_over_many_parts(spark, odd, empty):
     assert same[0] == same[1]
 
 
+def test_hot_ids_are_split(spark):
+    """An id, or no id, with a large part of all rows lies in several parts, and neighbours stay neighbours."""
+    rows = [(i, f"text {i}") for i in range(200)] + [(77, f"hot {i}") for i in range(300)] + [(None, f"none {i}") for i in range(300)] + [(199, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    by_part = {}
+    for r in fingerprint.neighbours(df, row_bytes=1000, part_bytes=40_000).collect():
+        by_part.setdefault(r.part, []).append((r.doc_id, r.text, r["last"]))
+    of = lambda i: sum(any(x[0] == i and not x[2] for x in rows) for rows in by_part.values())
+    assert of(77) >= 5 and of(None) >= 5
+    follows = {}
+    for rows_of in by_part.values():
+        for (a, t, _), (b, u, _) in zip(rows_of, rows_of[1:], strict=False):
+            follows[a, t] = (b, u)
+    assert set(follows) == set(rows) and sorted(map(str, follows.values())) == sorted(map(str, rows))
+    assert all(b is None or a is None or b <= a or (a == 0) for (a, _), (b, _) in follows.items())
+    assert {b for (a, _), (b, _) in follows.items() if a is None} == {None, 199} and sum(a is None and b == 199 for (a, _), (b, _) in follows.items()) == 1
+
+
+def test_fingerprint_query_against_plain_python(spark, sf_dir):
+    docs = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()), reverse=True)
+    got = {r.doc_id: r for r in queries.QUERIES["op9_fingerprint"](spark, sf_dir).collect()}
+    assert len(got) == len(docs)
+    for (i, text), (_, other) in zip(docs, docs[1:] + docs[:1], strict=True):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + other[:half]
+        own, there, theirs = (fingerprint.sketch_text(t) for t in (text, edited, other))
+        r = got[i]
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert r.fingerprint == fingerprint.dump(own) and r.edited_fingerprint == fingerprint.dump(there)
+        assert r.near_edited == fingerprint.resemblance(own, there) and r.near_next == fingerprint.resemblance(own, theirs)
+
+
+def test_media_query_against_plain_python(spark, sf_dir, empty):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.QUERIES["op10_media"](spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        data = texts[r.doc_id].encode()
+        payload = data + bytes(-len(data) % 64) or bytes(64)
+        image = media.write_png(payload)
+        assert (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(data), len(payload), len(image))
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.media_sha256 == hashlib.sha256(image).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
+    assert empty.select(media.to_png(F.col("text")).alias("i")).count() == 0
+
+
 def test_merged_parts(spark):
     df = spark.createDataFrame([("k", "a b c d e f"), ("k", "c d e f g h"), ("j", "")], "key string, text string")
     parts = df.select("key", fingerprint.sketch(F.col("text")).alias("s"))
