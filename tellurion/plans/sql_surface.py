@@ -27,7 +27,7 @@ sql_query("sql_correlated", "SELECT count(*) AS n FROM part p WHERE p_retailpric
 sql_query("sql_cte", "WITH a AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1), b AS (SELECT max(n) AS m FROM a) SELECT l_suppkey, n FROM a JOIN b ON n = m")
 sql_query("sql_recursive_cte", "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t")
 sql_query("sql_values", "SELECT b, sum(a) AS s FROM (VALUES (1, 'x'), (2, 'y'), (3, 'x')) t(a, b) GROUP BY b")
-sql_query("sql_unnest", "SELECT event_id, x FROM events LATERAL VIEW explode(array(event_id, user_id)) v AS x WHERE event_id < 50", "SELECT event_id, unnest([event_id, user_id]) AS x FROM events WHERE event_id < 50")
+sql_query("sql_unnest", "SELECT event_id, x FROM events LATERAL VIEW explode(array(event_id, user_id)) v AS x", "SELECT event_id, unnest([event_id, user_id]) AS x FROM events")
 sql_query("sql_aggregates", f"SELECT l_returnflag, count(*) AS n, sum(CAST(l_extendedprice AS {D})) AS total, min(l_shipdate) AS first, max(l_shipdate) AS last, round(avg(l_quantity), 6) AS mean, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_returnflag")
 sql_query(
     "sql_statistics",
@@ -50,8 +50,8 @@ sql_query("sql_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FR
 sql_query("sql_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 sql_query(
     "sql_window_rank",
-    "SELECT event_id, row_number() OVER w AS rn, rank() OVER v AS r, dense_rank() OVER v AS dr, ntile(4) OVER w AS nt, round(percent_rank() OVER v, 9) AS pr, round(cume_dist() OVER v, 9) AS cd FROM events WHERE user_id < 50 WINDOW w AS (PARTITION BY event_type ORDER BY event_id), v AS (PARTITION BY event_type ORDER BY user_id)",
-    "SELECT event_id, CAST(row_number() OVER w AS INT) AS rn, CAST(rank() OVER v AS INT) AS r, CAST(dense_rank() OVER v AS INT) AS dr, CAST(ntile(4) OVER w AS INT) AS nt, round(percent_rank() OVER v, 9) AS pr, round(cume_dist() OVER v, 9) AS cd FROM events WHERE user_id < 50 WINDOW w AS (PARTITION BY event_type ORDER BY event_id), v AS (PARTITION BY event_type ORDER BY user_id)",
+    "SELECT event_id, row_number() OVER w AS rn, rank() OVER v AS r, dense_rank() OVER v AS dr, ntile(4) OVER w AS nt, round(percent_rank() OVER v, 9) AS pr, round(cume_dist() OVER v, 9) AS cd FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id), v AS (PARTITION BY event_type ORDER BY user_id)",
+    "SELECT event_id, CAST(row_number() OVER w AS INT) AS rn, CAST(rank() OVER v AS INT) AS r, CAST(dense_rank() OVER v AS INT) AS dr, CAST(ntile(4) OVER w AS INT) AS nt, round(percent_rank() OVER v, 9) AS pr, round(cume_dist() OVER v, 9) AS cd FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id), v AS (PARTITION BY event_type ORDER BY user_id)",
 )
 sql_query("sql_window_analytic", "SELECT event_id, lag(event_id, 2) OVER w AS l2, lead(event_id, 1, -1) OVER w AS ld, first_value(event_id) OVER w AS fv, last_value(event_id) OVER w AS lv, nth_value(event_id, 3) OVER w AS n3 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 sql_query(

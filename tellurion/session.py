@@ -6,8 +6,10 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,13 +36,16 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **more: str) -> Sp
 
 
 _own: dict[str, str] = {}
+_made = threading.local()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where that is unset (tests) a folder of this process."""
+    """The shared folder named by spark.checkpoint.dir; only where that is unset and the master is local (tests) a folder of this process."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="tellurion-")
@@ -57,15 +62,34 @@ def saved(df: DataFrame, name: str = "part") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
+    if (made := getattr(_made, "paths", None)) is not None:
+        made.append(path)
     return out
 
 
+@contextmanager
+def only_keeping(kept: list[DataFrame]):
+    """Delete the tables that saved() makes in this thread inside the block, but for those in `kept` when it ends well."""
+    outer, _made.paths = getattr(_made, "paths", None), []
+    try:
+        yield
+        spared = {df.saved_path for df in kept}
+        for path in _made.paths:
+            if path not in spared:
+                _delete(kept[0].sparkSession, path)
+    finally:
+        _made.paths = outer
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by saved() that nothing reads any more."""
-    spark, path = df.sparkSession, getattr(df, "saved_path", None)
-    if path:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at.getParent(), True)
+    if path := getattr(df, "saved_path", None):
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at.getParent(), True)
 
 
 #: Rows and bytes of a batch that goes to a Python worker. Spark's own numbers suit narrow rows; with whole texts, workers
