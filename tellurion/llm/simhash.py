@@ -369,7 +369,8 @@ def checked_groups(named: DataFrame, edges: DataFrame, check: Callable[[DataFram
         tried = edges if tried is None else tried.union(edges)
         named = regrouped(named, between(passed, of))
         of = named.select("fp", "group")
-        failed = between(edges.join(passed, ["u", "v"], "left_anti"), of).filter("u != v").select(F.explode(F.array("u", "v")).alias("group")).distinct()
+        failed = between(edges.join(passed, ["u", "v"], "left_anti"), of).filter("u != v").select(F.explode(F.array("u", "v")).alias("group"))
+        failed = saved(failed.distinct(), "failed")  # stored, so that Spark can split the join of a group that many belong to
         again = saved(of.join(failed, "group", "left_semi").select("fp", "group"), "again")
         if again.isEmpty():
             return named
