@@ -103,7 +103,8 @@ def equality(matchers: list[str]) -> list[Matcher]:
     return parsed
 
 
-PRIMARY = ("service", "service.name", "service_name", "app", "job", "namespace", "pod", "container")
+#: Labels that identify a row, in order.
+PRIMARY = ("container", "pod", "namespace", "node", "service", "k8s_app.kubernetes.io/name", "k8s_app.kubernetes.io/instance", "k8s_app.kubernetes.io/component")
 
 
 def primary_labels(labels: Column, keys: tuple[str, ...] = PRIMARY, most: int = 4) -> Column:

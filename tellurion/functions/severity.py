@@ -9,8 +9,9 @@ CLASSES = ((21, "FATAL"), (17, "ERROR"), (13, "WARN"), (9, "INFO"), (5, "DEBUG")
 UNKNOWN = "—"
 #: From least to most severe.
 ORDER = (UNKNOWN, *(name for _, name in reversed(CLASSES)))
-KINDS = ("unspecified", "internal", "server", "client", "producer", "consumer")
-STATUSES = ("unset", "ok", "error")
+#: Names by number.
+KINDS = ("UNSPEC", "INTERNAL", "SERVER", "CLIENT", "PRODUCER", "CONSUMER")
+STATUSES = ("", "OK", "ERROR")
 
 
 def severity_class(number: Column) -> Column:
@@ -24,13 +25,13 @@ def rank(name: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, ORDER)), name) - 1
 
 
-def _named(number: Column, names: tuple[str, ...]) -> Column:
-    return F.when((number >= 0) & (number < len(names)), F.element_at(F.array(*map(F.lit, names)), number.cast("int") + 1)).otherwise("unknown")
+def _named(number: Column, names: tuple[str, ...], other: Column) -> Column:
+    return F.when((number >= 0) & (number < len(names)), F.element_at(F.array(*map(F.lit, names)), number.cast("int") + 1)).otherwise(other)
 
 
 def kind_name(kind: Column) -> Column:
-    return _named(kind, KINDS)
+    return _named(kind, KINDS, F.concat(F.lit("KIND_"), kind.cast("string")))
 
 
 def status_name(code: Column) -> Column:
-    return _named(code, STATUSES)
+    return _named(code, STATUSES, F.lit(""))

@@ -23,14 +23,24 @@ def session_and_frame(trace_id: Column) -> tuple[Column, Column]:
 
 
 def duration_text(ns: Column) -> Column:
+    """A span in its largest fitting unit; negative ones count as 0."""
+    ns = F.greatest(ns, F.lit(0))
     return (
         F.when(ns < 1000, F.concat(ns.cast("string"), F.lit("ns")))
-        .when(ns < 1_000_000, F.concat(F.format_number(ns / 1e3, 1), F.lit("µs")))
-        .when(ns < 1_000_000_000, F.concat(F.format_number(ns / 1e6, 1), F.lit("ms")))
-        .otherwise(F.concat(F.format_number(ns / 1e9, 2), F.lit("s")))
+        .when(ns < 1_000_000, F.format_string("%.1fµs", ns / 1e3))
+        .when(ns < 1_000_000_000, F.format_string("%.2fms", ns / 1e6))
+        .otherwise(F.format_string("%.2fs", ns / 1e9))
     )
 
 
+def service_hue(name: Column) -> Column:
+    """A colour angle, 0 to 359: the 31-hash of the UTF-16 units, wrapped to 32 bits."""
+    digits = F.hex(F.encode(name, "UTF-16BE"))
+    units = F.transform(F.when(F.length(name) > 0, F.sequence(F.lit(1), F.length(digits), F.lit(4))).otherwise(F.array().cast("array<int>")), lambda i: F.conv(F.substr(digits, i, F.lit(4)), 16, 10).cast("long"))
+    whole = F.aggregate(units, F.lit(0).cast("long"), lambda h, c: (h * 31 + c) % (1 << 32))
+    return F.pmod(F.when(whole >= 1 << 31, whole - (1 << 32)).otherwise(whole), F.lit(360)).cast("int")
+
+
 def gcd(a: Column, b: Column, rounds: int = 92) -> Column:
     """Euclid's steps for longs; 92 suffice."""
     start = F.struct(F.abs(a).alias("x"), F.abs(b).alias("y"))

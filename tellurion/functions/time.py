@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SECOND = 1_000_000_000
-#: Steps of a histogram in seconds, 1 s to 1 d.
-LADDER = (1, 2, 5, 10, 15, 30, 60, 120, 300, 600, 900, 1800, 3600, 21600, 86400)
+#: Steps of a histogram in seconds, 1 s to 1 d.
+LADDER = (1, 5, 10, 15, 30, 60, 300, 600, 900, 1800, 3600, 10800, 21600, 43200, 86400)
 
 
 def to_nanos(ts: Column) -> Column:
@@ -36,10 +36,29 @@ def choose_step(start: int, end: int, most: int = 120) -> int:
     return next((s for s in LADDER if span / s <= most), LADDER[-1]) * SECOND
 
 
+def step_of(span: Column, most: int = 120) -> Column:
+    """choose_step for a column of spans in nanoseconds; a null span counts as empty."""
+    fits = F.filter(F.array(*(F.lit(s * SECOND) for s in LADDER)), lambda s: span / s <= most)
+    wide = F.when(F.size(fits) > 0, F.element_at(fits, 1)).otherwise(LADDER[-1] * SECOND)
+    return F.when(span > 0, wide).otherwise(SECOND)
+
+
 def snap(now: int, step: int) -> int:
     return now // step * step
 
 
+def quick_range(now: int, span: int) -> tuple[int, int]:
+    """The window of a span that ends at the last whole step, so that requests within one step are equal."""
+    end = snap(now, choose_step(0, span))
+    return end - span, end
+
+
+def time_text(ns: Column) -> Column:
+    """Struct of the time of day and the whole time, both to the millisecond, in the session's zone."""
+    at = to_timestamp(ns)
+    return F.struct(F.date_format(at, "HH:mm:ss.SSS").alias("short"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("full"))
+
+
 def utc_date(ns: Column) -> Column:
     return F.date_format(F.timestamp_seconds(floor_div(ns, SECOND)), "yyyy-MM-dd")
 

@@ -49,7 +49,7 @@ def test_primary_labels_and_keys(spark):
 
 def test_steps():
     s = T.SECOND
-    assert T.choose_step(0, 120 * s) == s and T.choose_step(0, 121 * s) == 2 * s
+    assert T.choose_step(0, 120 * s) == s and T.choose_step(0, 121 * s) == 5 * s
     assert T.choose_step(5, 5) == s and T.choose_step(0, 10**6 * 86400 * s) == 86400 * s
     assert T.snap(17, 5) == 15
 
