@@ -1,4 +1,4 @@
-"""A result cache keyed by the request and the blocks it would read."""
+"""Caches: results by the request and the blocks it would read, and sidecars by the blocks they are of."""
 
 from __future__ import annotations
 
@@ -43,3 +43,30 @@ class ResultCache:
 
     def __len__(self) -> int:
         return len(self._held)
+
+
+class SidecarCache:
+    """Persisted sidecar frames by block set, within a byte budget, least recently used first to go. Blocks never change, so neither do these."""
+
+    def __init__(self, budget: int = 256 << 20):
+        self.budget = budget
+        self.size = self.hits = self.misses = 0
+        self._held: OrderedDict = OrderedDict()
+
+    def get(self, key, read, size_of):
+        """The frame of a key; read() makes it, size_of() tells its stored bytes. Frames above the whole budget are not kept."""
+        if key in self._held:
+            self.hits += 1
+            self._held.move_to_end(key)
+            return self._held[key][0]
+        self.misses += 1
+        frame, size = read(), size_of()
+        if size > self.budget:
+            return frame
+        self._held[key] = (frame.persist(), size)
+        self.size += size
+        while self.size > self.budget:
+            old, gone = self._held.popitem(last=False)[1]
+            old.unpersist()
+            self.size -= gone
+        return frame

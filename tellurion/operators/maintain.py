@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tellurion import schemas
+from tellurion.operators.lease import Lease, Leases
 from tellurion.sources import blocks
 from tellurion.sources.catalog import Catalog
 
@@ -50,28 +52,51 @@ def merge_blocks(catalog: Catalog, root: str, group: list, fence: Fence | None =
     return blocks.write_block(root, signal, rows, side, writer="compactor", level=group[0].level + 1, parts=parts)
 
 
-def compact(catalog: Catalog, root: str, fanout: int = FANOUT, grace: float = 0, fence: Fence | None = None) -> list[tuple[list[str], str]]:
-    """Merge every planned group: write, publish, supersede, wait, delete. Lost leases leave the inputs as they were."""
+def compact(catalog: Catalog, root: str, fanout: int = FANOUT, grace: float = 0, fence: Fence | None = None, leases: Leases | None = None, parallel: int = 4) -> list[tuple[list[str], str]]:
+    """Merge every planned group: write, publish, supersede, wait once for all, delete. Lost leases leave the inputs as they were.
+
+    Groups are merged beside each other. With leases each group is merged by one holder only,
+    and a group that another process merged in the meantime is passed over.
+    """
     plan: dict[tuple, list] = {}
     for r in plan_merges(catalog.live(), fanout).collect():
         plan.setdefault((r.signal, r.date, r.level), []).append(r)
-    done = []
-    for group in plan.values():
+    guards: list[Lease] = []
+
+    def merge(group: list) -> tuple[list, str, Fence | None] | None:
+        guard = fence
+        if leases is not None:
+            held = leases.try_acquire("/".join((group[0].signal, group[0].date, str(group[0].level))))
+            if held is None:
+                return None
+            guards.append(held)
+            guard = (lambda: held() and fence()) if fence is not None else held
+            names = [b.block for b in group]
+            if catalog.live(group[0].signal).filter(F.col("block").isin(names)).count() < len(names):
+                return None
         group.sort(key=lambda b: (b.ts_min, b.block))
-        _hold(fence)
-        made = merge_blocks(catalog, root, group, fence)
-        _hold(fence)
-        old = catalog.spark.createDataFrame([(b.block,) for b in group], "block string")
+        _hold(guard)
+        made = merge_blocks(catalog, root, group, guard)
+        _hold(guard)
         if made is not None:
             catalog.insert(made)
-        catalog.mark_superseded(old)
-        time.sleep(grace)
-        _hold(fence)
-        for b in group:
-            blocks.delete_block(catalog.spark, b.path)
-        catalog.mark_deleted(old)
-        done.append(([b.block for b in group], made.first().block if made is not None else ""))
-    return done
+        catalog.mark_superseded(catalog.spark.createDataFrame([(b.block,) for b in group], "block string"))
+        return group, made.first().block if made is not None else "", guard
+
+    try:
+        with ThreadPoolExecutor(parallel) as pool:
+            merged = [m for m in pool.map(merge, plan.values()) if m is not None]
+        if merged:
+            time.sleep(grace)
+        for group, _, guard in merged:
+            _hold(guard)
+            for b in group:
+                blocks.delete_block(catalog.spark, b.path)
+            catalog.mark_deleted(catalog.spark.createDataFrame([(b.block,) for b in group], "block string"))
+    finally:
+        for held in guards:
+            held.release()
+    return [([b.block for b in group], name) for group, name, _ in merged]
 
 
 def plan_reaping(live: DataFrame, now: int, default_ttl: int | None, overrides: dict[str, int] | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ label, blooms by substring. What is left is one Parquet scan that Catalyst optim
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException, ParseException, PySparkException
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tellurion import schemas
 from tellurion.functions.labels import EMPTY, MatcherError, equality
-from tellurion.operators.cache import ResultCache, request_key
+from tellurion.operators.cache import ResultCache, SidecarCache, request_key
 from tellurion.sources import blocks, bloom, postings
 from tellurion.sources.catalog import Catalog, candidates
 
@@ -58,8 +58,17 @@ class Stats:
     candidates: int = 0
     after_bloom: int = 0
     after_postings: int = 0
-    series: int | None = None
-    notes: list[str] = field(default_factory=list)
+    #: Bytes of the blocks that were left to read, and rows of the result once it is fetched.
+    block_bytes: int = 0
+    rows: int | None = None
+    #: Whether the result came from the cache.
+    cached: bool = False
+    #: What the scans did, by name: files, bytes and rows read.
+    scan: dict[str, int] = field(default_factory=dict)
+
+
+def out_of_memory(error: PySparkException) -> bool:
+    return error.getCondition() == "UNABLE_TO_ACQUIRE_MEMORY" or "OutOfMemoryError" in str(error)
 
 
 def parse_trace_id(text: str) -> bytes:
@@ -148,13 +157,42 @@ def check_sql(sql: str, spark: SparkSession | None = None) -> str:
     return bare
 
 
+def scan_metrics(rows: DataFrame) -> dict[str, int]:
+    """Files, bytes and rows that the file scans of a frame read, summed, once its result was computed."""
+    out: dict[str, int] = {}
+    todo = [rows._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        if name == "FileSourceScanExec":
+            for key in ("numFiles", "filesSize", "numOutputRows"):
+                if node.metrics().contains(key):
+                    out[key] = out.get(key, 0) + node.metrics().apply(key).value()
+        inner = node.children()
+        todo += [inner.apply(i) for i in range(inner.size())]
+    return out
+
+
 class Engine:
     """Queries over the blocks of one catalog."""
 
-    def __init__(self, spark: SparkSession, catalog: Catalog, cache: ResultCache | None = None, live: Callable[[QuerySpec], DataFrame] | None = None):
-        self.spark, self.catalog, self.cache, self.live = spark, catalog, cache, live
+    def __init__(self, spark: SparkSession, catalog: Catalog, cache: ResultCache | None = None, live: Callable[[QuerySpec], DataFrame] | None = None, sidecars: SidecarCache | None = None):
+        self.spark, self.catalog, self.cache, self.live, self.sidecars = spark, catalog, cache, live, sidecars
         self.stats = Stats()
 
+    def _sidecar(self, kind: str, found: list, schema) -> DataFrame:
+        paths = [b.path for b in found]
+        read = lambda: blocks.read_sidecar(self.spark, kind, paths, schema)
+        if self.sidecars is None or not found:
+            return read()
+        return self.sidecars.get((kind, frozenset(b.block for b in found)), read, lambda: sum(blocks.folder_size(self.spark, f"{p}.{kind}") for p in paths))
+
     def candidates(self, spec: QuerySpec) -> list:
         """Catalog rows of the blocks to read, pruned by time, substring and labels in this order."""
         signal = infer_signal(spec)
@@ -162,7 +200,7 @@ class Engine:
         one_bucket(found)
         self.stats = Stats(candidates=len(found))
         if signal == "logs" and spec.body_contains and found:
-            sidecar = blocks.read_sidecar(self.spark, "bloom", [b.path for b in found], "block string, bloom binary")
+            sidecar = self._sidecar("bloom", found, "block string, bloom binary")
             out = {r.block for r in sidecar.filter(~bloom.may_hold(F.col("bloom"), spec.body_contains)).select("block").collect()}
             found = [b for b in found if b.block not in out]
         self.stats.after_bloom = len(found)
@@ -172,7 +210,7 @@ class Engine:
         matchers = equality(list(spec.matchers))
         if not matchers or not found:
             return found, None
-        index = blocks.read_sidecar(self.spark, "postings", [b.path for b in found], schemas.POSTINGS)
+        index = self._sidecar("postings", found, schemas.POSTINGS)
         wanted = postings.resolve(index, matchers, "block")
         keep = {r.block for r in wanted.select("block").distinct().collect()}
         found = [b for b in found if b.block in keep]
@@ -186,6 +224,7 @@ class Engine:
             if signal in ("metrics", "logs"):
                 found, wanted = self._series(signal, found, spec)
                 self.stats.after_postings = len(found)
+                self.stats.block_bytes = sum(b.size_bytes for b in found)
                 rows = in_window(blocks.read_blocks(self.spark, signal, [b.path for b in found]), signal, spec.start, spec.end)
                 if wanted is not None and found:
                     rows = with_series(rows, schemas.KEY[signal], wanted)
@@ -196,7 +235,7 @@ class Engine:
                         side = blocks.read_sidecar(self.spark, "series", [b.path for b in found], "block string, fingerprint bigint, labels map<string,string>, metric_type smallint")
                         rows = enrich(rows, side.groupBy("fingerprint").agg(F.any_value("labels").alias("labels")))
                 return rows
-            self.stats.after_postings = len(found)
+            self.stats.after_postings, self.stats.block_bytes = len(found), sum(b.size_bytes for b in found)
             rows = in_window(blocks.read_blocks(self.spark, signal, [b.path for b in found]), signal, spec.start, spec.end)
             if signal == "profiles":
                 if spec.matchers:
@@ -234,20 +273,43 @@ class Engine:
             if self.cache is not None and not spec.live:
                 key = request_key(spec, [b.block for b in self.candidates(spec)])
                 if (hit := self.cache.get(key)) is not None:
+                    self.stats.rows, self.stats.cached = hit.num_rows, True
                     return hit
             try:
-                table = self.run(spec).toArrow()
+                rows = self.run(spec)
+                table = rows.toArrow()
+                self.stats.rows, self.stats.scan = table.num_rows, scan_metrics(rows)
             except QueryError:
                 raise
             except PySparkException as e:
                 if attempt == 1 and self.evict_missing(spec):
                     continue
-                raise QueryError(3 if isinstance(e, AnalysisException) else 4 if "memory" in str(e).lower() else 6, str(e)[:2000]) from e
+                raise QueryError(3 if isinstance(e, AnalysisException) else 4 if out_of_memory(e) else 6, str(e)[:2000]) from e
             if key is not None:
                 self.cache.put(key, table)
             return table
         raise QueryError(6, "blocks keep vanishing")
 
+    def batches(self, spec: QuerySpec, rows: int = 65_536) -> Iterator:
+        """The result as Arrow batches, one partition of it at the driver at a time."""
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        frame = self.run(spec)
+        schema = to_arrow_schema(frame.schema)
+        held: list[dict] = []
+        for r in frame.toLocalIterator():
+            held.append(r.asDict(recursive=True))
+            if len(held) == rows:
+                yield pa.RecordBatch.from_pylist(held, schema)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema)
+
+    def explain(self, spec: QuerySpec, mode: str = "formatted") -> str:
+        """The plan of a request as text; nothing is run but the pruning."""
+        return self.spark._jvm.PythonSQLUtils.explainString(self.run(spec)._jdf.queryExecution(), mode)
+
     def evict_missing(self, spec: QuerySpec) -> int:
         """Mark candidate blocks deleted whose files are gone; how many."""
         signal = infer_signal(spec)
@@ -261,7 +323,7 @@ class Engine:
             return self.spark.createDataFrame([(n,) for n in sorted(PROMOTED)[:3]], "label_name string")
         if signal == "profiles":
             return self.spark.createDataFrame([], "label_name string")
-        return postings.label_names(self._index(signal, start, end))
+        return self._cached_pairs(signal, start, end).select("label_name").distinct().orderBy("label_name")
 
     def label_values(self, signal: str, name: str, start: int | None = None, end: int | None = None) -> DataFrame:
         if signal == "traces":
@@ -269,11 +331,20 @@ class Engine:
             return promoted_values(blocks.read_blocks(self.spark, signal, [b.path for b in found]), name)
         if signal == "profiles":
             return self.spark.createDataFrame([], "label_value string")
-        return postings.label_values(self._index(signal, start, end), name)
+        return self._cached_pairs(signal, start, end).filter(F.col("label_name") == name).select("label_value").distinct().orderBy("label_value")
+
+    def warm_labels(self, signal: str, start: int | None = None, end: int | None = None) -> int:
+        """Read the postings of blocks whose labels are not in the catalog's cache, and keep them there; how many blocks those were."""
+        found = candidates(self.catalog.live(signal), start, end)
+        cold = found.join(self.catalog.warmed(), "block", "left_anti").collect()
+        if cold:
+            pairs = blocks.read_sidecar(self.spark, "postings", [b.path for b in cold], schemas.POSTINGS)
+            self.catalog.cache_labels(self.spark.createDataFrame([(b.block,) for b in cold], "block string"), pairs)
+        return len(cold)
 
-    def _index(self, signal: str, start: int | None, end: int | None) -> DataFrame:
-        found = candidates(self.catalog.live(signal), start, end).collect()
-        return blocks.read_sidecar(self.spark, "postings", [b.path for b in found], schemas.POSTINGS)
+    def _cached_pairs(self, signal: str, start: int | None, end: int | None) -> DataFrame:
+        self.warm_labels(signal, start, end)
+        return self.catalog.label_pairs(candidates(self.catalog.live(signal), start, end).select("block"))
 
 
 def promoted_values(spans: DataFrame, name: str) -> DataFrame:
@@ -282,3 +353,22 @@ def promoted_values(spans: DataFrame, name: str) -> DataFrame:
         return spans.select(F.lit("").alias("label_value")).limit(0)
     value = F.col(PROMOTED[name])
     return spans.select(value.alias("label_value")).filter("label_value is not null and label_value <> ''").distinct().orderBy("label_value")
+
+
+# One-shot requests for each signal.
+
+
+def metrics_query(spark: SparkSession, catalog: Catalog, matchers: tuple[str, ...] = (), start: int | None = None, end: int | None = None) -> DataFrame:
+    return Engine(spark, catalog).frame(QuerySpec("metrics", tuple(matchers), start, end))
+
+
+def logs_query(spark: SparkSession, catalog: Catalog, matchers: tuple[str, ...] = (), start: int | None = None, end: int | None = None, contains: str | None = None) -> DataFrame:
+    return Engine(spark, catalog).frame(QuerySpec("logs", tuple(matchers), start, end, body_contains=contains))
+
+
+def traces_query(spark: SparkSession, catalog: Catalog, matchers: tuple[str, ...] = (), start: int | None = None, end: int | None = None, trace_id: str | None = None) -> DataFrame:
+    return Engine(spark, catalog).frame(QuerySpec("traces", tuple(matchers), start, end, trace_id=trace_id))
+
+
+def profiles_query(spark: SparkSession, catalog: Catalog, start: int | None = None, end: int | None = None) -> DataFrame:
+    return Engine(spark, catalog).frame(QuerySpec("profiles", (), start, end))

@@ -102,6 +102,12 @@ def read_sidecar(spark: SparkSession, kind: str, bases: Iterable[str], schema) -
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
+def all_fingerprints(spark: SparkSession, bases: Iterable[str]) -> DataFrame:
+    """Sorted distinct fingerprints of each block, those of series without labels too."""
+    side = read_sidecar(spark, "series", bases, "block string, fingerprint bigint, labels map<string,string>, metric_type smallint")
+    return side.groupBy("block").agg(F.array_sort(F.collect_set("fingerprint")).alias("fingerprints"))
+
+
 def block_stats(rows: DataFrame, time: str) -> DataFrame:
     """Bounds and rows of each file of a scan."""
     return rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min(time).alias("ts_min"), F.max(time).alias("ts_max"), F.count("*").alias("row_count"))

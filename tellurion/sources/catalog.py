@@ -8,6 +8,7 @@ they never fall; compacted blocks carry none. Replayed events change nothing.
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from tellurion import schemas
 
 CURSORS = "peer string, position string"
+LABELS = "block string, label_name string, label_value string"
 SNAPSHOT_VERSION = 1
 
 
@@ -28,10 +30,11 @@ class Catalog:
 
     def _table(self, name: str, schema) -> DataFrame:
         path = f"{self.root}/{name}"
-        return self.spark.read.schema(schema).parquet(path) if self._exists(path) else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path) if self._exists(path) else self.spark.createDataFrame([], schema)
 
     def _append(self, name: str, rows: DataFrame) -> None:
-        rows.coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")
+        """One file in a folder of its own, so that writers beside each other never share a folder for their uncommitted files."""
+        rows.coalesce(1).write.parquet(f"{self.root}/{name}/{uuid.uuid4().hex}")
 
     def events(self) -> DataFrame:
         return self._table("events", schemas.CATALOG_EVENTS)
@@ -63,6 +66,28 @@ class Catalog:
     def watermarks(self) -> DataFrame:
         return marks(self.events())
 
+    def totals(self) -> DataFrame:
+        """Live blocks, rows, bytes and time bounds of each signal."""
+        live = self.live().groupBy("signal")
+        return live.agg(F.count("*").alias("blocks"), F.sum("row_count").alias("rows"), F.sum("size_bytes").alias("bytes"), F.min("ts_min").alias("ts_min"), F.max("ts_max").alias("ts_max")).orderBy("signal")
+
+    def cache_labels(self, blocks: DataFrame, pairs: DataFrame) -> None:
+        """Keep blocks' distinct label pairs and mark the blocks warm, also those without labels; one append, which may be repeated."""
+        marks = blocks.select("block", F.lit(None).cast("string").alias("label_name"), F.lit(None).cast("string").alias("label_value"))
+        self._append("labels", pairs.select("block", "label_name", "label_value").distinct().unionByName(marks))
+
+    def _labels(self) -> DataFrame:
+        """Cached pairs and marks of blocks that are not deleted."""
+        gone = self.events().filter("event = 'deleted'").select("block").distinct()
+        return self._table("labels", LABELS).join(gone, "block", "left_anti")
+
+    def warmed(self) -> DataFrame:
+        return self._labels().filter("label_name is null").select("block").distinct()
+
+    def label_pairs(self, blocks: DataFrame) -> DataFrame:
+        """Distinct cached (label_name, label_value) of the given blocks."""
+        return self._labels().filter("label_name is not null").join(blocks, "block", "left_semi").select("label_name", "label_value").distinct()
+
     def set_cursor(self, peer: str, position: str) -> None:
         self._append("cursors", self.spark.createDataFrame([(peer, position)], CURSORS))
 
@@ -80,15 +105,34 @@ class Catalog:
 
     def reconcile(self, pattern: str) -> DataFrame:
         """Blocks from the meta files under a bucket, <block>.meta.json or the files in <block>.meta; bad files and repeated blocks are passed over."""
-        found = self.spark.read.schema(schemas.BLOCKS).option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(pattern)
-        file = F.col("_metadata.file_path")
-        found = found.filter(file.rlike(r"\.meta(/[^/]*)?\.json$|\.meta/[^/]*$") & ~file.contains("/_catalog/"))
+        return self._adopt(_metas(self.spark.read, pattern))
+
+    def poll(self, bucket: str, files: int = 10_000) -> int:
+        """Blocks whose meta files came into a bucket since the last poll; how many. The checkpoint of a stream over those files is the cursor.
+
+        What a poll misses or a lost checkpoint repeats does no harm: known blocks are passed over, and reconcile() walks the whole bucket.
+        """
+        found = _metas(self.spark.readStream.option("maxFilesPerTrigger", files).option("maxFileAge", "36500d"), bucket)
+        adopted: list[int] = []
+        query = found.writeStream.foreachBatch(lambda batch, _: adopted.append(self._adopt(batch).count())).option("checkpointLocation", f"{self.root}/poll").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sum(adopted)
+
+    def _adopt(self, found: DataFrame) -> DataFrame:
         sound = found.filter("block is not null and signal is not null and ts_min is not null and path is not null")
-        fresh = sound.dropDuplicates(["block"]).join(self.blocks().select("block"), "block", "left_anti")
+        known = self.blocks().select("block")
+        fresh = sound.dropDuplicates(["block"]).join(known, "block", "left_anti")
         self._event("created", fresh)
         return fresh
 
 
+def _metas(reader, pattern: str) -> DataFrame:
+    """Catalog rows from the meta files under a bucket, by a reader of tables or of streams."""
+    found = reader.schema(schemas.BLOCKS).option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(pattern)
+    file = F.col("_metadata.file_path")
+    return found.filter(file.rlike(r"\.meta(/[^/]*)?\.json$|\.meta/[^/]*$") & ~file.contains("/_catalog/"))
+
+
 def marks(events: DataFrame) -> DataFrame:
     """The highest segment that each writer's blocks of a signal and shard were made from."""
     made = events.filter("event = 'created' and writer is not null and segment is not null")

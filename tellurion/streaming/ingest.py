@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,6 +45,93 @@ def to_blocks(catalog: Catalog, root: str, signal: str, writer: str, shard: int
     return publish
 
 
+class BlockBuilder:
+    """Collects the segments of one shard until a block is full or old enough, then writes them as one block.
+
+    Segments wait in a folder, so that a builder made anew over the same
+    root goes on where the last one ended. The block carries its last segment as its mark;
+    segments up to that mark are never written again.
+    """
+
+    def __init__(self, catalog: Catalog, root: str, signal: str, writer: str, shard: int = 0, max_rows: int = blocks.MAX_ROWS, max_bytes: int = blocks.MAX_BYTES):
+        self.catalog, self.root, self.signal, self.writer, self.shard = catalog, root.rstrip("/"), signal, writer, shard
+        self.max_rows, self.max_bytes = max_rows, max_bytes
+        self.spool = f"{self.root}/_open/{signal}/{writer}/{shard}"
+        mark = catalog.watermarks().filter((F.col("writer") == writer) & (F.col("signal") == signal) & (F.col("shard") == shard)).first()
+        self.high = mark.high if mark is not None else -1
+        #: Rows, bytes and time of each open segment.
+        self.open: dict[int, tuple[int, int, float]] = {}
+        self.counters = {"batches": 0, "rows": 0, "blocks": 0, "repeated": 0}
+        self._recover()
+
+    def _fs(self, path: str):
+        at = self.catalog.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.catalog.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _recover(self) -> None:
+        fs, at = self._fs(self.spool)
+        for f in fs.listStatus(at) if fs.exists(at) else []:
+            segment = int(f.getPath().getName())
+            path = f"{self.spool}/{segment}"
+            if segment <= self.high or not fs.exists(self._fs(f"{path}/_SUCCESS")[1]):
+                fs.delete(f.getPath(), True)
+            else:
+                self.open[segment] = (self.catalog.spark.read.parquet(path).count(), blocks.folder_size(self.catalog.spark, path), f.getModificationTime() / 1000)
+
+    def add(self, batch: DataFrame, segment: int, now: float | None = None) -> bool:
+        """Take a batch; whether that closed a block. Repeated batches replace themselves or are passed over."""
+        self.counters["batches"] += 1
+        if segment <= self.high:
+            self.counters["repeated"] += 1
+            return False
+        path = f"{self.spool}/{segment}"
+        batch.write.mode("overwrite").parquet(path)
+        rows = batch.sparkSession.read.parquet(path).count()
+        self.counters["rows"] += rows
+        self.open[segment] = (rows, blocks.folder_size(self.catalog.spark, path), time.time() if now is None else now)
+        if sum(n for n, _, _ in self.open.values()) >= self.max_rows or sum(s for _, s, _ in self.open.values()) >= self.max_bytes:
+            self.close()
+            return True
+        return False
+
+    def flush_if_aged(self, max_age: float, now: float | None = None) -> bool:
+        """Close the block if its first segment has waited for so many seconds; whether it did."""
+        if not self.open or (time.time() if now is None else now) - min(t for _, _, t in self.open.values()) < max_age:
+            return False
+        self.close()
+        return True
+
+    def close(self) -> None:
+        order = sorted(self.open)
+        rows = self.catalog.spark.read.parquet(*(f"{self.spool}/{s}" for s in order))
+        key = {"metrics": "series_fingerprint", "logs": "stream_fingerprint"}.get(self.signal)
+        side = rows.groupBy(F.col(key).alias("fingerprint")).agg(F.any_value("labels").alias("labels")).withColumn("metric_type", F.lit(0).cast("short")) if key else None
+        made = blocks.write_block(self.root, self.signal, rows, side, self.writer, self.shard, order[-1], block=block_id(self.writer, self.signal, self.shard, order[-1]))
+        if made is not None:
+            self.catalog.insert(made)
+            self.counters["blocks"] += 1
+        self.high = order[-1]
+        self.open.clear()
+        fs, _ = self._fs(self.spool)
+        for s in order:
+            fs.delete(self._fs(f"{self.spool}/{s}")[1], True)
+
+
+def sharded(builders: list[BlockBuilder], session: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that deals rows to builders by session id, so that a session's rows stay in one shard."""
+
+    def publish(batch: DataFrame, segment: int) -> None:
+        batch = batch.persist()
+        try:
+            shard = F.pmod(F.col(session), F.lit(len(builders)))
+            with ThreadPoolExecutor(len(builders)) as pool:
+                list(pool.map(lambda i: builders[i].add(batch.filter(shard == i), segment), range(len(builders))))
+        finally:
+            batch.unpersist()
+
+    return publish
+
+
 class LiveTable:
     """Recent rows by segment, one Parquet folder for each, bounded by age and bytes."""
 
@@ -136,6 +224,12 @@ class Tail:
         return self.queues[name][2][0]
 
 
+def bounded(reader, path: str, files: int = 1000, size: str | None = None):
+    """A stream of the Parquet files in a folder that takes at most so many files, or bytes, at a time: blocks that are slow to write hold the stream back."""
+    reader = reader.option("maxBytesPerTrigger", size) if size else reader.option("maxFilesPerTrigger", files)
+    return reader.parquet(path)
+
+
 def run_once(stream: DataFrame, publish: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Drive a stream over what there is now and stop."""
     query = stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
