@@ -40,4 +40,4 @@ def sql_query(name: str, sql: str, oracle: str | None = None) -> None:
     ORACLES[name] = oracle or sql
 
 
-from tellurion.plans import ingest_queries, sql_surface, telemetry  # noqa: E402, F401
+from tellurion.plans import engine_queries, ingest_queries, sql_surface, telemetry  # noqa: E402, F401

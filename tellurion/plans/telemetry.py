@@ -14,36 +14,13 @@ from tellurion.functions.text import lower_hex, strip_ansi
 from tellurion.functions.time import SECOND, bucket, floor_div, utc_date
 from tellurion.operators import analytics, maintain
 from tellurion.operators import query as Q
+from tellurion.plans.common import CLASS, DAY, END, LOGS, SPANS, START, STEP, empty_store, event_stream, log_store, publish_rows
 from tellurion.plans.registry import query
 from tellurion.session import saved, scratch_dir, ship_package
 from tellurion.sources import blocks, bloom, postings, signals
 from tellurion.sources.catalog import Catalog, candidates, created_blocks, live_blocks
 from tellurion.streaming import ingest
 
-STEP = 6 * 3600 * SECOND
-DAY = 86400 * SECOND
-#: 2024-01-05 to 2024-01-12, in nanoseconds.
-START, END = 1704412800 * SECOND, 1705017600 * SECOND
-
-LOGS = """
-logs AS (SELECT event_id, epoch_us(ts) * 1000 AS ts_unix_nano, event_type, CAST(user_id % 8 AS VARCHAR) AS shard, user_id, value,
-  CASE event_type WHEN 'error' THEN 17 WHEN 'purchase' THEN 13 WHEN 'signup' THEN 9 WHEN 'click' THEN 9 ELSE 5 END AS severity,
-  'event ' || event_id || ' user ' || user_id || ' value ' || CAST(CAST(value AS DECIMAL(18,4)) AS VARCHAR) || ' ' || props AS body,
-  json_extract_string(props, '$.k') AS k,
-  md5('event_type' || chr(0) || event_type || chr(0) || 'shard' || chr(0) || CAST(user_id % 8 AS VARCHAR) || chr(0)) AS stream
-FROM events)"""
-SPANS = """
-spans AS (
-  SELECT lpad(lower(hex(o_orderkey)), 32, '0') AS trace_id, substr(md5('order ' || o_orderkey), 1, 16) AS span_id, NULL AS parent_span_id,
-    o_orderpriority AS service_name, o_orderstatus AS deployment_environment, 'order' AS name, epoch_us(o_orderdate) * 1000 AS start_ns, epoch_us(o_orderdate) * 1000 + 1000000000 AS end_ns, 1 AS status_code
-  FROM orders UNION ALL
-  SELECT lpad(lower(hex(l_orderkey)), 32, '0'),
-    substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT), CAST(trunc(l_extendedprice * 100) AS BIGINT), CAST(trunc(l_discount * 100) AS INT), CAST(trunc(l_tax * 100) AS INT))), 1, 16),
-    substr(md5('order ' || l_orderkey), 1, 16), 'supplier-' || (l_suppkey % 10), l_linestatus, 'line', epoch_us(l_shipdate) * 1000, epoch_us(l_shipdate) * 1000 + CAST(l_quantity AS BIGINT) * 1000000000,
-    CASE WHEN l_returnflag = 'R' THEN 2 ELSE 1 END
-  FROM lineitem)"""
-CLASS = "CASE WHEN severity >= 21 THEN 'FATAL' WHEN severity >= 17 THEN 'ERROR' WHEN severity >= 13 THEN 'WARN' WHEN severity >= 9 THEN 'INFO' WHEN severity >= 5 THEN 'DEBUG' WHEN severity >= 1 THEN 'TRACE' ELSE '—' END"
-
 
 @query(f"WITH {LOGS} SELECT ts_unix_nano // {STEP} * {STEP} AS bucket, CAST(severity AS SMALLINT) AS severity, count(*) AS n FROM logs GROUP BY ALL")
 def log_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,31 +324,10 @@ def retention_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.reaping_report(maintain.plan_reaping(live_blocks(_catalog_events(spark, sf_dir)), END + 2 * DAY, None, {"logs": 2 * DAY}))
 
 
-def _empty_store(spark: SparkSession) -> tuple[Catalog, str]:
-    root = f"{scratch_dir(spark)}/tellurion-{uuid.uuid4().hex}/store"
-    return Catalog(spark, f"{root}/_catalog"), root
-
-
-def _publish(catalog: Catalog, root: str, signal: str, rows: DataFrame, dimension: DataFrame | None = None, segment: int = 0) -> None:
-    made = blocks.write_block(root, signal, rows, dimension, segment=segment)
-    if made is not None:
-        catalog.insert(made)
-
-
-def _store(spark: SparkSession, sf_dir: str, parts: int = 3) -> tuple[Catalog, str]:
-    """Log blocks of the events by remainder of their time, in a new store."""
-    catalog, root = _empty_store(spark)
-    rows = signals.logs(spark, sf_dir)
-    for i in range(parts):
-        part = rows.filter(F.pmod(floor_div(F.col("ts_unix_nano"), 1000), F.lit(parts)) == i)
-        _publish(catalog, root, "logs", part, signals.dimension(part, "stream_fingerprint"), i)
-    return catalog, root
-
-
 @query(f"WITH {LOGS} SELECT event_type, count(*) AS n FROM logs WHERE shard = '2' GROUP BY 1")
 def compaction_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    catalog, root = _store(spark, sf_dir)
+    catalog, root = log_store(spark, sf_dir)
     maintain.compact(catalog, root, fanout=3)
     rows = Q.Engine(spark, catalog).frame(Q.QuerySpec("logs", ("shard=2",)))
     return rows.groupBy(F.col("labels")["event_type"].alias("event_type")).agg(F.count("*").alias("n"))
@@ -380,7 +336,7 @@ def compaction_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LOGS} SELECT ts_unix_nano, body FROM logs WHERE contains(body, 'user 7 ')")
 def grep_bloom_equals_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    catalog, _ = _store(spark, sf_dir)
+    catalog, _ = log_store(spark, sf_dir)
     return Q.Engine(spark, catalog).frame(Q.QuerySpec("logs", body_contains="user 7 ", labels=False)).select("ts_unix_nano", "body")
 
 
@@ -396,7 +352,7 @@ def bloom_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LOGS} SELECT count(*) AS row_count, min(ts_unix_nano) AS ts_min, max(ts_unix_nano) AS ts_max FROM logs")
 def block_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    catalog, _ = _store(spark, sf_dir, 1)
+    catalog, _ = log_store(spark, sf_dir, 1)
     files = blocks.block_stats(blocks.read_blocks(spark, "logs", [r.path for r in catalog.live().collect()]), "ts_unix_nano")
     return files.select("row_count", "ts_min", "ts_max")
 
@@ -404,7 +360,7 @@ def block_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LOGS} SELECT severity::SMALLINT AS severity, count(*) AS n FROM logs WHERE ts_unix_nano < {START} AND event_type = 'error' GROUP BY 1")
 def engine_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    catalog, _ = _store(spark, sf_dir, 2)
+    catalog, _ = log_store(spark, sf_dir, 2)
     sql = "SELECT severity, count(*) AS n FROM logs WHERE labels['event_type'] = 'error' GROUP BY severity"
     return Q.Engine(spark, catalog).run(Q.QuerySpec("logs", end=START - 1, sql=sql))
 
@@ -413,10 +369,10 @@ def engine_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_metrics_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """metrics_match over stored blocks, of which one is told apart by its postings."""
     ship_package(spark)
-    catalog, root = _empty_store(spark)
+    catalog, root = empty_store(spark)
     rows = signals.event_series(spark, sf_dir)
     for i, part in enumerate((rows.filter("labels['event_type'] != 'click'"), rows.filter("labels['event_type'] = 'click'"))):
-        _publish(catalog, root, "metrics", part, signals.dimension(part, "series_fingerprint"), i)
+        publish_rows(catalog, root, "metrics", part, signals.dimension(part, "series_fingerprint"), i)
     return Q.Engine(spark, catalog).frame(Q.QuerySpec("metrics", ("event_type=click", "shard=3"))).select("ts_unix_nano", "value")
 
 
@@ -424,22 +380,22 @@ def stored_metrics_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_logs_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks before, in and after the window; both bounds are inclusive."""
     ship_package(spark)
-    catalog, _ = _store(spark, sf_dir)
+    catalog, _ = log_store(spark, sf_dir)
     return Q.Engine(spark, catalog).frame(Q.QuerySpec("logs", ("event_type=error",), START, END, labels=False)).select("ts_unix_nano", "body")
 
 
 @query(f"WITH {SPANS} SELECT span_id, service_name, start_ns FROM spans WHERE trace_id = lpad('1f', 32, '0')")
 def stored_trace_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalog, root = _empty_store(spark)
-    _publish(catalog, root, "traces", signals.spans(spark, sf_dir))
+    catalog, root = empty_store(spark)
+    publish_rows(catalog, root, "traces", signals.spans(spark, sf_dir))
     rows = Q.Engine(spark, catalog).frame(Q.QuerySpec("traces", trace_id="1f".zfill(32)))
     return rows.select(lower_hex(F.col("span_id")).alias("span_id"), "service_name", F.col("start_unix_nano").alias("start_ns"))
 
 
 @query(f"SELECT page_id * {SECOND} AS ts_unix_nano, md5(html) AS data FROM pages WHERE page_id BETWEEN 20 AND 90")
 def stored_profiles_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalog, root = _empty_store(spark)
-    _publish(catalog, root, "profiles", signals.profiles(spark, sf_dir))
+    catalog, root = empty_store(spark)
+    publish_rows(catalog, root, "profiles", signals.profiles(spark, sf_dir))
     rows = Q.Engine(spark, catalog).frame(Q.QuerySpec("profiles", start=20 * SECOND, end=90 * SECOND))
     return rows.select("ts_unix_nano", F.md5("data").alias("data"))
 
@@ -448,7 +404,7 @@ def stored_profiles_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new catalog finds the blocks of a bucket by their meta files, and none of them twice."""
     ship_package(spark)
-    _, root = _store(spark, sf_dir)
+    _, root = log_store(spark, sf_dir)
     other = Catalog(spark, f"{root}-rebuilt")
     found, again = (other.reconcile(root).count() for _ in range(2))
     return other.live("logs").agg(F.sum("row_count").alias("row_count")).select(F.lit(found).cast("long").alias("found"), F.lit(again).cast("long").alias("again"), "row_count")
@@ -468,14 +424,6 @@ def live_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy(F.col("labels")["event_type"].alias("event_type")).agg(F.count("*").alias("n"))
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = signals.read(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
-    ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
-    kinds = signals.pairs(event_type=F.col("event_type"), shard=signals.shard())
-    return raw.select(L.fingerprint(kinds).alias("stream_fingerprint"), ns.alias("ts_unix_nano"), F.when(F.col("event_type") == "error", 17).otherwise(9).cast("short").alias("severity"), F.concat(F.lit("event "), F.col("event_id")).alias("body"), F.expr(signals.NONE).alias("attributes"), kinds.alias("labels"))
-
-
 @query(f"WITH {LOGS} SELECT event_type, CAST(CASE WHEN event_type = 'error' THEN 17 ELSE 9 END AS SMALLINT) AS severity, count(*) AS n FROM logs GROUP BY ALL")
 def stream_ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events streamed into blocks, then the same stream once more; the second run publishes nothing new."""
@@ -484,7 +432,7 @@ def stream_ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = Catalog(spark, f"{root}/_catalog")
     publish = ingest.to_blocks(catalog, root, "logs", "w")
     for run in ("one", "two"):
-        ingest.run_once(_stream(spark, sf_dir), publish, f"{root}/checkpoint-{run}")
+        ingest.run_once(event_stream(spark, sf_dir), publish, f"{root}/checkpoint-{run}")
     rows = Q.Engine(spark, catalog).frame(Q.QuerySpec("logs"))
     return rows.groupBy(F.col("labels")["event_type"].alias("event_type"), "severity").agg(F.count("*").alias("n"))
 
@@ -494,7 +442,7 @@ def tail_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{scratch_dir(spark)}/tellurion-{uuid.uuid4().hex}/tail"
     tail = ingest.Tail(capacity=100)
     tail.subscribe("t", ["event_type=signup", "shard!=0"])
-    ingest.run_once(_stream(spark, sf_dir), tail.offer, root)
+    ingest.run_once(event_stream(spark, sf_dir), tail.offer, root)
     return spark.createDataFrame([(len(tail.take("t")) + tail.dropped("t"),)], "kept long")
 
 
@@ -502,7 +450,7 @@ def tail_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day windows over event time, run to the end of the stream in complete mode."""
     root = f"{scratch_dir(spark)}/tellurion-{uuid.uuid4().hex}/windows"
-    windows = ingest.event_windows(_stream(spark, sf_dir), "10 minutes", "1 day")
+    windows = ingest.event_windows(event_stream(spark, sf_dir), "10 minutes", "1 day")
     out: dict[int, DataFrame] = {}
     query = windows.writeStream.outputMode("complete").foreachBatch(lambda b, i: out.__setitem__(i, saved(b, "windows"))).option("checkpointLocation", root).trigger(availableNow=True).start()
     query.awaitTermination()
