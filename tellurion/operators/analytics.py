@@ -48,8 +48,8 @@ def listed_values(values: DataFrame, counts: DataFrame) -> DataFrame:
 def trace_summary(spans: DataFrame, limit: int | None = 5000) -> DataFrame:
     """Start, end, duration and spans of each trace, slowest first."""
     each = spans.groupBy(lower_hex(F.col("trace_id")).alias("trace_id")).agg(F.min("start_unix_nano").alias("start_ns"), F.max("end_unix_nano").alias("end_ns"), F.count("*").alias("spans"))
-    each = each.withColumn("dur_ns", F.col("end_ns") - F.col("start_ns")).orderBy(F.desc("dur_ns"), "trace_id")
-    return each if limit is None else each.limit(limit)
+    each = each.withColumn("dur_ns", F.col("end_ns") - F.col("start_ns"))
+    return each if limit is None else each.orderBy(F.desc("dur_ns"), "trace_id").limit(limit)
 
 
 def densest_trace(spans: DataFrame) -> DataFrame:
@@ -57,10 +57,51 @@ def densest_trace(spans: DataFrame) -> DataFrame:
 
 
 def frame_stats(durations: DataFrame, column: str = "dur_ns", *by: str) -> DataFrame:
-    """Count, least, nearest-rank median and 99th percentile, and most. Ranks go through doubles: beyond 2 ** 53 ns (104 days) they are rounded."""
+    """Count, least, nearest-rank median and 99th percentile, and most.
+
+    Null durations count in no figure. Without groups the ranks are exact and found by narrowing histograms, so that no task holds
+    all durations. With groups each group's distinct durations meet in one task, and beyond
+    2 ** 53 ns (104 days) its ranks are rounded, as they go through doubles.
+    """
     d = F.col(column)
+    if not by:
+        return _ranked(durations.select(d.cast("long").alias("d")).filter("d is not null"), {"median": (1, 2), "p99": (99, 100)})
     rank = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})").cast("long").alias(n) for p, n in ((0.5, "median"), (0.99, "p99"))]
-    return durations.groupBy(*by).agg(F.count("*").alias("n"), F.min(d).alias("least"), *rank, F.max(d).alias("most"))
+    return durations.filter(d.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.min(d).alias("least"), *rank, F.max(d).alias("most"))
+
+
+#: Bins of a histogram that narrows a rank down; the driver reads so many rows at most.
+BINS = 4096
+
+
+def _ranked(values: DataFrame, shares: dict[str, tuple[int, int]]) -> DataFrame:
+    """One row of n, least, each share's value and most. A round counts the values in equal bins of the ranges that still hold a rank; the bins shrink by BINS each time, to single values."""
+    from tellurion.session import discard, saved
+
+    spark = values.sparkSession
+    values = saved(values, "values")
+    n, least, most = values.agg(F.count("*"), F.min("d"), F.max("d")).first()
+    found: dict[str, int | None] = dict.fromkeys(shares)
+    # Each open rank: the range that holds it, and its place among the range's values.
+    todo = {name: (least, most, -(-n * up // down)) for name, (up, down) in shares.items()} if n else {}
+    while todo:
+        for low, high in {(a, b) for a, b, _ in todo.values()}:
+            width = -(-(high - low + 1) // BINS)
+            bin_of = F.expr(f"cast((d - {low}L) div {width}L as int)")
+            counts = sorted((r.b, r.n) for r in values.filter(F.col("d").between(low, high)).groupBy(bin_of.alias("b")).agg(F.count("*").alias("n")).collect())
+            for name, (_, _, rank) in [(k, t) for k, t in todo.items() if t[:2] == (low, high)]:
+                for b, held in counts:
+                    if rank <= held:
+                        break
+                    rank -= held
+                start = low + b * width
+                if width == 1:
+                    found[name] = start
+                    del todo[name]
+                else:
+                    todo[name] = (start, min(start + width - 1, high), rank)
+    discard(values)
+    return spark.createDataFrame([(n, least, *found.values(), most)], f"n long, least long, {', '.join(f'{k} long' for k in found)}, most long")
 
 
 def frames(spans: DataFrame) -> DataFrame:
@@ -83,9 +124,10 @@ def share_of_slowest(rows: DataFrame, column: str = "dur_ns") -> DataFrame:
 
 def roots(spans: DataFrame) -> DataFrame:
     """Spans without a parent in their trace: null, absent and self-referring parents."""
-    known = spans.select("trace_id", F.col("span_id").alias("parent_span_id")).distinct()
-    own = F.col("parent_span_id").isNull() | (F.col("parent_span_id") == F.col("span_id"))
-    return spans.filter(own).unionByName(spans.filter(~own).join(known, ["trace_id", "parent_span_id"], "left_anti").select(*spans.columns))
+    # A key that is null meets none, so spans without a parent stay in the same anti-join as orphans.
+    keyed = spans.withColumn("_parent", F.when(F.col("parent_span_id") != F.col("span_id"), F.col("parent_span_id")))
+    known = spans.select("trace_id", F.col("span_id").alias("_parent"))
+    return keyed.join(known, ["trace_id", "_parent"], "left_anti").select(*spans.columns)
 
 
 def span_tree(spans: DataFrame) -> DataFrame:

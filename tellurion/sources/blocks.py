@@ -66,7 +66,7 @@ def _write(root: str, signal: str, rows: DataFrame, dimension: DataFrame | None,
     dealt.sortWithinPartitions(*sort).write.options(**WRITER).option("maxRecordsPerFile", 1 << 22).mode("overwrite").parquet(f"{base}.{signal}")
     if dimension is not None:
         own = dimension.withColumn("block", F.lit(block))
-        postings.build_postings(own, "block").select(*schemas.POSTINGS.names).sort("label_name", "label_value").coalesce(1).write.options(**SIDECAR).mode("overwrite").parquet(f"{base}.postings")
+        postings.build_postings(own, "block", slices=-(-stats[0] // MAX_ROWS)).select(*schemas.POSTINGS.names).sort("label_name", "label_value").coalesce(1).write.options(**SIDECAR).mode("overwrite").parquet(f"{base}.postings")
         own.select("block", "fingerprint", "labels", "metric_type").coalesce(1).write.options(**SIDECAR).mode("overwrite").parquet(f"{base}.series")
     if signal == "logs":
         bloom.build_blooms(rows.select(F.lit(block).alias("block"), "body")).coalesce(1).write.mode("overwrite").parquet(f"{base}.bloom")

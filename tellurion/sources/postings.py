@@ -1,26 +1,36 @@
-"""The inverted label index: (label name, label value) -> sorted distinct fingerprints."""
+"""The inverted label index: (label name, label value) -> sorted distinct fingerprints.
+
+A list may be cut into slices by a hash of the fingerprint, a row each, so that a label on every
+series is neither one task's work nor one row. What reads an index takes lists whole or sliced.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tellurion.functions.labels import Matcher
 
+#: Parts in which the series of one metric name are ranked before its limit is drawn.
+SALTS = 64
+
+
+def _lists(rows: DataFrame, slices: int, *by: str) -> DataFrame:
+    part = [F.pmod(F.xxhash64("fingerprint"), F.lit(slices)).alias("_slice")] if slices > 1 else []
+    return rows.groupBy(*by, "label_name", "label_value", *part).agg(F.array_sort(F.collect_set("fingerprint")).alias("fingerprints")).drop("_slice")
 
-def build_postings(dimension: DataFrame, *by: str) -> DataFrame:
+
+def build_postings(dimension: DataFrame, *by: str, slices: int = 1) -> DataFrame:
     """dimension(fingerprint, labels, *by) -> (*by, label_name, label_value, fingerprints)."""
-    pairs = dimension.select(*by, "fingerprint", F.explode("labels").alias("label_name", "label_value"))
-    return pairs.groupBy(*by, "label_name", "label_value").agg(F.array_sort(F.collect_set("fingerprint")).alias("fingerprints"))
+    return _lists(dimension.select(*by, "fingerprint", F.explode("labels").alias("label_name", "label_value")), slices, *by)
 
 
-def merge_postings(*parts: DataFrame) -> DataFrame:
+def merge_postings(*parts: DataFrame, slices: int = 1) -> DataFrame:
     """The union of indexes, each list sorted and distinct again."""
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    rows = every.select("label_name", "label_value", F.explode("fingerprints").alias("f"))
-    return rows.groupBy("label_name", "label_value").agg(F.array_sort(F.collect_set("f")).alias("fingerprints"))
+    return _lists(every.select("label_name", "label_value", F.explode("fingerprints").alias("fingerprint")), slices)
 
 
 def resolve(postings: DataFrame, matchers: list[Matcher], *by: str) -> DataFrame:
@@ -65,8 +75,15 @@ def top_values_by_series(postings: DataFrame, name: str, k: int) -> DataFrame:
 
 
 def capped(dimension: DataFrame, most: int) -> DataFrame:
-    """Series within a cardinality limit for each metric name: the first by canonical order, the rest refused."""
-    from pyspark.sql import Window
+    """Series within a cardinality limit for each metric name: the first by fingerprint, the rest refused.
 
-    order = Window.partitionBy(F.col("labels")["__name__"]).orderBy("fingerprint")
-    return dimension.withColumn("accepted", F.dense_rank().over(order) <= most)
+    A name's last accepted fingerprint is found among the first of each of SALTS parts, so that
+    no task ranks all series of a name; the series are then held against it.
+    """
+    name = F.col("labels")["__name__"]
+    keys = dimension.select(name.alias("_name"), F.col("fingerprint").alias("_last")).distinct()
+    part = Window.partitionBy("_name", F.pmod("_last", F.lit(SALTS))).orderBy("_last")
+    first = keys.withColumn("_n", F.row_number().over(part)).filter(F.col("_n") <= most)
+    last = first.withColumn("_n", F.row_number().over(Window.partitionBy("_name").orderBy("_last"))).filter(F.col("_n") == most).drop("_n")
+    joined = dimension.join(last, name.eqNullSafe(F.col("_name")), "left")
+    return joined.withColumn("accepted", F.coalesce(F.col("fingerprint") <= F.col("_last"), F.lit(True))).drop("_name", "_last")

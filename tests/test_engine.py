@@ -175,3 +175,45 @@ def test_bounded_stream(spark, sf_dir, files):
     catalog, root = store(spark)
     ingest.run_once(ingest.bounded(reader, sf_dir, files), lambda b, i: seen.append(b.count()), f"{root}/c{files}")
     assert sum(seen) == signals.read(spark, sf_dir, "events").count()
+
+
+def test_ranks_by_histograms(spark):
+    import random
+
+    from tellurion.operators.analytics import frame_stats
+
+    draw = random.Random(3)
+    wide = [draw.randrange(-(2**62), 2**62) for _ in range(999)] + [-(2**62), 2**62 - 1]
+    skewed = [5] * 500 + [6] * 490 + [2**60 + i for i in range(10)]
+    for values in (wide, skewed, [7], [1, 1, 2], list(range(10_000))):
+        r = frame_stats(spark.createDataFrame([(v,) for v in values] + [(None,)], "dur_ns long")).first()
+        s = sorted(values)
+        assert tuple(r) == (len(s), s[0], s[-(-len(s) // 2) - 1], s[-(-len(s) * 99 // 100) - 1], s[-1])
+    assert tuple(frame_stats(spark.createDataFrame([], "dur_ns long")).first()) == (0, None, None, None, None)
+
+
+def test_sliced_postings(spark):
+    from tellurion.functions.labels import equality
+    from tellurion.sources import postings
+
+    side = spark.createDataFrame([(i, {"env": "prod", "i": str(i % 3)}) for i in range(-50, 50)], "fingerprint long, labels map<string,string>")
+    whole, cut = (postings.build_postings(side, slices=s) for s in (1, 7))
+    assert whole.count() == 4 and cut.filter("label_name = 'env'").count() == 7
+    for m in (["env=prod"], ["env=prod", "i=1"], ["i=9"], []):
+        one, two = (sorted(r[0] for r in postings.resolve(p, equality(m)).select("fingerprint").collect()) for p in (whole, cut))
+        assert one == two
+    assert sorted(postings.merge_postings(cut, whole).collect()) == sorted(whole.collect())
+    assert postings.top_names_by_values(cut, 2).collect() == postings.top_names_by_values(whole, 2).collect()
+    assert postings.top_values_by_series(cut, "i", 3).collect() == postings.top_values_by_series(whole, "i", 3).collect()
+    assert postings.invert(cut).count() == 100
+
+
+def test_cardinality_limit(spark):
+    from tellurion.sources import postings
+
+    rows = [(i * 7919 % 1009 - 500, {"__name__": n} if n else {}) for i in range(200) for n in ("a", "b" if i < 3 else "a", None)]
+    side = spark.createDataFrame(rows, "fingerprint long, labels map<string,string>")
+    want = {n: set(sorted({f for f, m in rows if m.get("__name__") == n})[:5]) for n in ("a", "b", None)}
+    got = postings.capped(side, 5).collect()
+    assert len(got) == len(rows)
+    assert all(r.accepted == (r.fingerprint in want[r.labels.get("__name__")]) for r in got)
