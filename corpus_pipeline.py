@@ -51,7 +51,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     wordy = mixing.size_in_words(F.col("row.text")) > 0
     texts = rows.filter(wordy).select(F.struct(*key).alias("id"), F.col("row.text").alias("text"))
     prints = saved(texts.select("id", simhash.fingerprint(F.col("text"), WIDTH, WORDS, distinct=True).alias("fp"), "id.mark"), "prints")
-    groups = simhash.near_duplicates(prints, RADIUS, lambda n: simhash.lsh_bands(WORDS, DIFFERING, n), check=lambda edges: simhash.resembling(edges, prints, texts, WIDTH, LEAST))
+    bands = lambda n: simhash.lsh_bands(WORDS, DIFFERING, n)
+    check = lambda edges: simhash.resembling(edges, prints, texts, WIDTH, LEAST)
+    sketched = lambda fps: simhash.sketches(fps, prints, texts, WIDTH)
+    groups = simhash.near_duplicates(prints, RADIUS, bands, check=check, sketched=sketched, least=LEAST)
     first = saved(groups.filter("id = component").select("id.*").distinct(), "kept")
     # One row of each document before the join: equal rows meet within their tasks first.
     plain = [F.col("row")[f.name] for f in docs.schema if not f.dataType.simpleString().startswith(("map", "variant"))]

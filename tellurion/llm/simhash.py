@@ -21,8 +21,10 @@ For radii that no exact bands cover, lsh_bands() draws bands by a stated recall,
 more of them as the number of fingerprints grows, so shards stay small. resembling() then
 holds the texts behind each edge against a least resemblance of their shingle sets. Where
 edges fail that check, the forest may have passed over a link that would not: the groups at
-their ends are searched again, in each shard each group for its NEAREST nearest pairs with its
-nearest other groups, until a search adds no link.
+their ends are searched again, in each shard each group for its nearest pairs with its nearest
+other groups. Fingerprints with a pair that was left out are searched again for more pairs each
+time, until none is left out. Pairs whose sketches show that their texts cannot resemble each
+other enough are not given to the check; a sketch never rules out a pair that would pass.
 
 Trees are not broadcast: together they hold the fingerprints of all documents, which the
 driver must never hold.
@@ -32,6 +34,7 @@ from __future__ import annotations
 
 import math
 from array import array
+from collections import Counter
 from collections.abc import Callable
 from itertools import combinations
 
@@ -47,8 +50,10 @@ from tellurion.session import saved
 #: Odd multipliers that derive further words of a fingerprint from the first hash.
 MIX = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 SHARD_ROWS = 2048
-#: In a further search of a shard, a group's nearest other groups, and its pairs with each.
-NEAREST = 2
+#: In the first further search of a shard, a group's nearest other groups, and its pairs with each; each later one takes MORE times as many.
+NEAREST, MORE = 2, 4
+#: Counts in a sketch; see sketch_text().
+BUCKETS = 256
 #: Bands as lists of masks, one mask for each word of a fingerprint.
 Bands = list[tuple[int, ...]]
 #: Up to so many ends of edges (some 150 bytes each) are broadcast to the texts; beyond that both sides are shuffled.
@@ -225,29 +230,64 @@ def _few(pairs: list[tuple], most: int) -> list[tuple]:
     return [p for own in kept.values() for p in own]
 
 
-def nearest(values: list[int], groups: list, radius: int, most: int) -> list[tuple[int, int]]:
-    """For each group its nearest pair within the radius with each of its `most` nearest other groups, and up to `most` - 1 more with each; pairs in order, once."""
+class Sketches:
+    """Which values' texts may resemble each other by `least`, as far as their sketches tell; sketches may be null or empty."""
+
+    def __init__(self, values: list[int], sketches: list[bytes | None], least: float):
+        self.place, self.least = {v: i for i, v in enumerate(values)}, least
+        self.known = np.array([bool(s) for s in sketches], bool)
+        self.counts = np.frombuffer(b"".join(s or bytes(BUCKETS) for s in sketches), np.uint8).reshape(len(values), BUCKETS)
+        self.sizes = self.counts.sum(axis=1, dtype=np.int64)
+
+    def possible(self, value: int, others: list[int]) -> np.ndarray:
+        """True for those others of which at most so many shingles can be shared that the resemblance may be `least` or more."""
+        i, at = self.place[value], np.array([self.place[w] for w in others], np.int64)
+        if not self.known[i]:
+            return np.ones(len(at), bool)
+        both = np.minimum(self.counts[at], self.counts[i]).sum(axis=1, dtype=np.int64)
+        either = self.sizes[at] + self.sizes[i] - both
+        return ~self.known[at] | (either == 0) | (both / np.maximum(either, 1) >= self.least)
+
+
+def nearest(values: list[int], groups: list, radius: int, most: int, sketches: Sketches | None = None, cut: set[int] | None = None) -> list[tuple[int, int]]:
+    """For each group its nearest pair within the radius with each of its `most` nearest other groups, and up to `most` - 1 more with each; pairs in order, once.
+
+    Pairs that the sketches rule out do not count. `cut` takes the values with a pair that is left out by `most`.
+    """
     of = dict(zip(values, groups, strict=True))
-    tree, near = BKTree(), {}
+    tree, near, pairs_of = BKTree(), {}, {}
     for v in of:
         tree.add(v)
     for v, own in of.items():
-        near.setdefault(own, []).extend(_few([(d, v, w, of[w]) for d, w in tree.within(v, radius) if of[w] != own], most))
-    return sorted({(min(v, w), max(v, w)) for pairs in near.values() for _, v, w, _ in _few(pairs, most)})
-
-
-def links(prints: DataFrame, bands: Bands, radius: int, shard_rows: int = SHARD_ROWS, most: int | None = None) -> DataFrame:
-    """prints(fp string, group string), distinct -> edges (u, v) of fingerprints within the radius that share a shard.
-
-    They are those of spanning forests, or with `most` each group's nearest ones to its nearest groups.
+        found = [(d, v, w, of[w]) for d, w in tree.within(v, radius) if of[w] != own]
+        if sketches and found:
+            found = [p for p, may in zip(found, sketches.possible(v, [p[2] for p in found]).tolist(), strict=True) if may]
+        pairs_of[v] = len(found)
+        near.setdefault(own, []).extend(_few(found, most))
+    taken = sorted({(min(v, w), max(v, w)) for pairs in near.values() for _, v, w, _ in _few(pairs, most)})
+    if cut is not None:
+        given = Counter(v for pair in taken for v in pair)
+        cut.update(v for v, n in pairs_of.items() if n > given[v])
+    return taken
+
+
+def links(prints: DataFrame, bands: Bands, radius: int, shard_rows: int = SHARD_ROWS, most: int | None = None, least: float = 0.0) -> DataFrame:
+    """prints(fp string, group string, sketch binary), distinct -> edges (u, v) of fingerprints within the radius that share a shard.
+
+    They are those of spanning forests, for which fp is enough, or with `most` each group's
+    nearest ones to its nearest groups, without those that the sketches (null: unknown) rule out
+    for `least`. A row (u, null) then says that pairs of u were left out by `most`.
     """
     words, masks = len(bands[0]), np.array(bands, np.uint64)
     finer = np.array([finer_bands(b, radius) for b in bands], np.uint64)
 
-    def edges_of(held: list[int], groups: list) -> list[tuple[int, int]]:
+    def edges_of(held: list[int], groups: list, sketches: list) -> list[tuple[int, int | None]]:
         if len(held) < 2:
             return []
-        return forest(held, radius) if most is None else nearest(held, groups, radius, most)
+        if most is None:
+            return forest(held, radius)
+        cut: set[int] = set()
+        return nearest(held, groups, radius, most, Sketches(held, sketches, least), cut) + [(v, None) for v in sorted(cut)]
 
     def keyed(values: pd.Series, masks: np.ndarray) -> pd.Series:
         """For each value a key for each mask; masks: (bands, words), or those of each value."""
@@ -268,29 +308,31 @@ def links(prints: DataFrame, bands: Bands, radius: int, shard_rows: int = SHARD_
     def trees(batches):
         held: list[int] = []
         groups: list = []
+        sketches: list = []
         held_key = None
         for batch in batches:
             group = list(zip(batch.band, batch.key, batch.i, batch.j, strict=True))
-            values, of = batch.fp.tolist(), batch["group"].tolist()
-            out: list[tuple[int, int]] = []
+            values, of, sketch = batch.fp.tolist(), batch["group"].tolist(), batch.sketch.tolist()
+            out: list[tuple[int, int | None]] = []
             start = 0
             for at in range(1, len(group) + 1):
                 if at == len(group) or group[at] != group[start]:
                     if group[start] != held_key:
-                        out += edges_of(held, groups)
-                        held, groups, held_key = [], [], group[start]
+                        out += edges_of(held, groups, sketches)
+                        held, groups, sketches, held_key = [], [], [], group[start]
                     held += [int.from_bytes(v) for v in values[start:at]]
                     groups += of[start:at]
+                    sketches += sketch[start:at]
                     start = at
             yield named(out)
-        yield named(edges_of(held, groups))
+        yield named(edges_of(held, groups, sketches))
 
-    def named(edges: list[tuple[int, int]]) -> pd.DataFrame:
+    def named(edges: list[tuple[int, int | None]]) -> pd.DataFrame:
         wide = f"0{16 * words}x"
-        return pd.DataFrame([(format(a, wide), format(b, wide)) for a, b in edges], columns=["u", "v"], dtype=object)
+        return pd.DataFrame([(format(a, wide), None if b is None else format(b, wide)) for a, b in edges], columns=["u", "v"], dtype=object)
 
-    group = F.lit(None).cast("string") if most is None else F.col("group")
-    rows = prints.select("fp", group.alias("group"), F.posexplode(keys("fp")).alias("band", "key"))
+    carried = [F.lit(None).cast(kind).alias(c) if most is None else F.col(c) for c, kind in (("group", "string"), ("sketch", "binary"))]
+    rows = prints.select("fp", *carried, F.posexplode(keys("fp")).alias("band", "key"))
     parts = F.ceil(F.col("count") / shard_rows).cast("int")
 
     def counted(rows: DataFrame) -> tuple[DataFrame, int]:
@@ -304,12 +346,12 @@ def links(prints: DataFrame, bands: Bands, radius: int, shard_rows: int = SHARD_
     whole, most_parts = counted(rows)
     if most_parts > radius + 1:
         hot = saved(whole.filter(F.col("parts") > radius + 1).drop("parts"), "hot")
-        again = hot.select("fp", "group", "band", F.posexplode(finer_keys("fp", "band")).alias("block", "key"))
-        again = again.select("fp", "group", (len(bands) + F.col("band") * (radius + 1) + F.col("block")).alias("band"), "key")
+        again = hot.select("fp", "group", "sketch", "band", F.posexplode(finer_keys("fp", "band")).alias("block", "key"))
+        again = again.select("fp", "group", "sketch", (len(bands) + F.col("band") * (radius + 1) + F.col("block")).alias("band"), "key")
         whole = whole.filter(F.col("parts") <= radius + 1).unionByName(counted(again)[0])
     part = F.pmod(F.xxhash64("fp"), "parts").cast("int")
     mate = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("parts") - 1), F.array(part))))
-    placed = whole.withColumn("mate", mate).select("band", "key", F.least(part, "mate").alias("i"), F.greatest(part, "mate").alias("j"), F.unhex("fp").alias("fp"), "group")
+    placed = whole.withColumn("mate", mate).select("band", "key", F.least(part, "mate").alias("i"), F.greatest(part, "mate").alias("j"), F.unhex("fp").alias("fp"), "group", "sketch")
     dealt = placed.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
     return dealt.mapInPandas(trees, "u string, v string").distinct()
 
@@ -321,19 +363,42 @@ def resemblance(a: str | None, b: str | None, width: int) -> float:
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def resembling(edges: DataFrame, rows: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """Those edges(u, v) whose texts resemble each other by `least` or more.
+def sketch_text(text: str | None, width: int) -> bytes:
+    """How many distinct shingles fall into each of BUCKETS buckets, a byte each; empty if one has more than 255.
+
+    Two texts share at most the sum of the lesser counts, so sketches bound the resemblance from above.
+    """
+    counts = np.bincount((np.unique(shingle_hashes(text, width)) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+    return counts.astype(np.uint8).tobytes() if counts.max() <= 255 else b""
+
+
+def standing(prints: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """prints(fp), distinct -> (fp, text), stored: the text that stands for all of a fingerprint.
 
     rows(id, fp, mark) says by id and hash of the text where a fingerprint occurs; of equal
-    fingerprints one text stands for all, so they must be of distinct shingles: those of
-    texts below `least` then differ, whereas with repeats one shingle may outvote the rest. texts(id, text) has all texts; null texts have no edges.
+    fingerprints one text stands for all, so they must be of distinct shingles: with repeats one
+    shingle may outvote the rest. texts(id, text) has all texts; null texts are left out.
     """
-    ends = edges.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
     least_row = rows.groupBy("fp").agg(F.min(F.struct("id", "mark")).alias("one"))  # before the join, which then meets each fingerprint once
-    one = saved(least_row.join(ends, "fp").select("fp", "one.id", "one.mark"), "ends")
+    one = saved(least_row.join(prints, "fp").select("fp", "one.id", "one.mark"), "ends")
     side = F.broadcast(one) if one.count() <= BROADCAST_ENDS else one
     named = texts.select("id", "text", F.xxhash64("text").alias("mark")).join(side, ["id", "mark"])
-    found = saved(named.groupBy("fp").agg(F.first("text").alias("text")), "texts")
+    return saved(named.groupBy("fp").agg(F.first("text").alias("text")), "texts")
+
+
+def sketches(prints: DataFrame, rows: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """prints(fp), distinct -> (fp, sketch) of the texts that resembling() goes by, stored."""
+
+    @F.pandas_udf("binary")
+    def sketch(texts: pd.Series) -> pd.Series:
+        return pd.Series([sketch_text(t, width) for t in texts], dtype=object)
+
+    return saved(standing(prints, rows, texts).select("fp", sketch("text").alias("sketch")), "sketches")
+
+
+def resembling(edges: DataFrame, rows: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """Those edges(u, v) whose texts, as standing() has them, resemble each other by `least` or more."""
+    found = standing(edges.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), rows, texts)
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -349,40 +414,48 @@ def regrouped(named: DataFrame, edges: DataFrame) -> DataFrame:
     return saved(named.join(member, named.group == member.node, "left").withColumn("group", F.coalesce("root", "group")).drop("node", "root"), "named")
 
 
-def checked_groups(named: DataFrame, edges: DataFrame, check: Callable[[DataFrame], DataFrame], bands: Bands, radius: int, shard_rows: int) -> DataFrame:
-    """regrouped() by the edges of fingerprints that pass the check; groups at failed ones are searched again until that adds no link.
+def checked_groups(named: DataFrame, edges: DataFrame, check: Callable[[DataFrame], DataFrame], bands: Bands, radius: int, shard_rows: int, sketched: Callable[[DataFrame], DataFrame] | None, least: float) -> DataFrame:
+    """regrouped() by the edges of fingerprints that pass the check; groups at failed ones are searched again until no pair between two groups is left unchecked.
 
     A true link that a forest passed over has a path beside it, which leaves the groups of both
-    its ends by failed edges between groups. Failed edges inside a group hide nothing.
+    its ends by failed edges between groups. Failed edges inside a group hide nothing. A further
+    search gives a group's nearest pairs and names the fingerprints of which it left pairs out;
+    the next one takes these only, with more pairs for each group, as both ends of a pair that
+    was left out are among them. It ends when none was, so no pair goes unchecked for being far.
     """
-    tried, of = None, named.select("fp", "group")
 
     def between(pairs: DataFrame, of: DataFrame) -> DataFrame:
         """pairs(u, v) of fingerprints as pairs of their groups."""
         u, v = (of.select(F.col("fp").alias(x), F.col("group").alias(f"group_{x}")) for x in "uv")
         return pairs.join(u, "u").join(v, "v").select(F.col("group_u").alias("u"), F.col("group_v").alias("v"))
 
-    while True:
-        passed = saved(check(edges), "passed")
-        if tried is not None and passed.isEmpty():
-            return named
-        tried = edges if tried is None else tried.union(edges)
-        named = regrouped(named, between(passed, of))
-        of = named.select("fp", "group")
-        failed = between(edges.join(passed, ["u", "v"], "left_anti"), of).filter("u != v").select(F.explode(F.array("u", "v")).alias("group"))
-        failed = saved(failed.distinct(), "failed")  # stored, so that Spark can split the join of a group that many belong to
-        again = saved(of.join(failed, "group", "left_semi").select("fp", "group"), "again")
-        if again.isEmpty():
-            return named
-        edges = saved(links(again, bands, radius, shard_rows, NEAREST).join(tried, ["u", "v"], "left_anti"), "links")
-        of = again
-
-
-def near_duplicates(rows: DataFrame, radius: int, bands: Callable[[int], Bands] | None = None, shard_rows: int = SHARD_ROWS, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    passed, tried, most = saved(check(edges), "passed"), edges, NEAREST
+    named = regrouped(named, between(passed, named))
+    failed = between(edges.join(passed, ["u", "v"], "left_anti"), named).filter("u != v").select(F.explode(F.array("u", "v")).alias("group"))
+    failed = saved(failed.distinct(), "failed")  # stored, so that Spark can split the join of a group that many belong to
+    again = saved(named.join(failed, "group", "left_semi").select("fp", "group"), "again")
+    if again.isEmpty():
+        return named
+    sketch = sketched(again.select("fp")) if sketched else again.select("fp", F.lit(None).cast("binary").alias("sketch"))
+    while not again.isEmpty():
+        shard = shard_rows if most == NEAREST else -(-shard_rows // 4)  # the more pairs a tree may give, the fewer fingerprints it holds
+        found = saved(links(again.join(sketch, "fp", "left"), bands, radius, shard, most, least), "links")
+        edges = saved(found.filter("v IS NOT NULL").join(tried, ["u", "v"], "left_anti"), "untried")
+        passed, tried, most = saved(check(edges), "passed"), tried.union(edges), most * MORE
+        if not passed.isEmpty():
+            named = regrouped(named, between(passed, again))
+        cut = found.filter("v IS NULL").select(F.col("u").alias("fp"))
+        again = saved(named.join(cut, "fp", "left_semi").select("fp", "group"), "again")
+    return named
+
+
+def near_duplicates(rows: DataFrame, radius: int, bands: Callable[[int], Bands] | None = None, shard_rows: int = SHARD_ROWS, check: Callable[[DataFrame], DataFrame] | None = None, sketched: Callable[[DataFrame], DataFrame] | None = None, least: float = 0.0) -> DataFrame:
     """rows(id, fp) -> (id, fp, component): the least id of all rows reachable over links within the radius.
 
     bands gives the bands for a number of fingerprints; None: exact_bands() for 64-bit ones.
-    check drops edges (u, v), stored ones, before they count as links. Ids may repeat; null ids
+    check drops edges (u, v), stored ones, before they count as links; sketched gives (fp, sketch)
+    for fingerprints, by which pairs that are sure to fall short of a resemblance of `least`, and
+    so to fail the check, need not be held against it. Ids may repeat; null ids
     keep their row and never are a least id unless a component has no other.
     """
     prints = saved(rows.groupBy("fp").agg(F.min("id").alias("least")), "prints")
@@ -390,7 +463,7 @@ def near_duplicates(rows: DataFrame, radius: int, bands: Callable[[int], Bands]
     drawn = bands(count) if bands else exact_bands(radius, count)
     edges = links(prints.select("fp"), drawn, radius, shard_rows)
     alone = prints.withColumn("group", F.col("fp"))
-    named = checked_groups(alone, saved(edges, "links"), check, drawn, radius, shard_rows) if check else regrouped(alone, edges)
-    least = saved(named.groupBy("group").agg(F.min("least").alias("component")), "least")
-    of = named.join(least, "group").select("fp", "component")
+    named = checked_groups(alone, saved(edges, "links"), check, drawn, radius, shard_rows, sketched, least) if check else regrouped(alone, edges)
+    first = saved(named.groupBy("group").agg(F.min("least").alias("component")), "least")
+    of = named.join(first, "group").select("fp", "component")
     return rows.join(of, "fp").select("id", "fp", "component")

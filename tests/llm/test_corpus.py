@@ -154,6 +154,53 @@ def test_links_behind_failed_edges_are_found(spark):
         assert got == {i: i - 1 if i % 3 == 1 else i for i, _ in rows}
 
 
+def test_links_behind_many_failed_edges_are_found(spark):
+    """a and b pass the check, but m lies between them and each has more nearer neighbours that fail it, in every shard, than a search takes."""
+    rng, rows, passing = np.random.default_rng(10), [], []
+    for k in range(6):
+        a = int(rng.integers(0, 2**63))
+        b, m = a ^ 7, a ^ 1
+        decoys = [a ^ 1 << i for i in range(13, 61, 4)] + [b ^ 1 << i for i in range(15, 63, 4)]
+        rows += [(100 * k + i, format(v, "016x")) for i, v in enumerate([a, b, m, *decoys])]
+        passing.append(tuple(sorted((format(a, "016x"), format(b, "016x")))))
+    good = spark.createDataFrame(passing, "u string, v string")
+    for shard_rows in (2048, 5):
+        got = {r.id: r.component for r in simhash.near_duplicates(spark.createDataFrame(rows, "id long, fp string"), 4, shard_rows=shard_rows, check=lambda e: e.join(good, ["u", "v"], "left_semi")).collect()}
+        assert got == {i: i - 1 if i % 100 == 1 else i for i, _ in rows}
+
+
+def test_sketches_rule_out_no_resembling_pair():
+    rng = np.random.default_rng(13)
+    texts = [None, "", "one", "e f " * 400, " ".join(f"x{i}" for i in range(70_000))]
+    for k in range(10):
+        words = [f"w{k}x{i}" for i in range(int(rng.integers(5, 300)))]
+        texts += [" ".join(w if rng.random() > rate else "new" for w in words) for rate in (0, 0.01, 0.02, 0.03, 0.05, 0.3)]
+    made = [simhash.sketch_text(t, 5) for t in texts]
+    assert made[4] == b"" and all(len(s) == simhash.BUCKETS for i, s in enumerate(made) if i != 4)
+    values, ruled_out = list(range(len(texts))), 0
+    held = simhash.Sketches(values, [*made[:-1], None], 0.8)
+    for v in values:
+        others = values[v:]
+        for w, may in zip(others, held.possible(v, others).tolist(), strict=True):
+            assert may or simhash.resemblance(texts[v], texts[w], 5) < 0.8
+            ruled_out += not may
+    assert ruled_out > 0.8 * len(values) ** 2 / 2
+
+
+def test_cut_names_the_ends_of_pairs_left_out():
+    rng = np.random.default_rng(14)
+    base = int(rng.integers(0, 2**63))
+    values = sorted({base ^ sum(1 << int(i) for i in rng.choice(64, int(rng.integers(0, 6)), replace=False)) for _ in range(50)})
+    groups_of = [i % 7 for i in range(len(values))]
+    of = dict(zip(values, groups_of, strict=True))
+    pairs = {(v, w) for v, w in itertools.combinations(values, 2) if of[v] != of[w] and (v ^ w).bit_count() <= 6}
+    for most in (1, 2, 5, 50):
+        cut = set()
+        got = set(simhash.nearest(values, groups_of, 6, most, cut=cut))
+        assert got <= pairs and cut == {x for pair in pairs - got for x in pair}
+    assert got == pairs and not cut
+
+
 def test_nearest_against_brute_force():
     rng = np.random.default_rng(12)
     base = int(rng.integers(0, 2**63))
