@@ -68,23 +68,46 @@ def may_hold(blob: Column, needle: str) -> Column:
     return asked(blob)
 
 
+def _grams_of(bodies) -> np.ndarray:
+    """Distinct trigrams of many bodies, found over one buffer; those that would span two bodies are left out."""
+    parts = [(b or "").encode() for b in bodies]
+    b = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
+    if len(b) < 3:
+        return np.empty(0, np.uint64)
+    ends = np.cumsum([len(x) for x in parts])
+    whole = np.ones(len(b), bool)
+    for back in (1, 2):
+        whole[ends[ends >= back] - back] = False  # no trigram begins in the last two bytes of a body
+    return np.unique(((b[:-2] << 16) | (b[1:-1] << 8) | b[2:])[whole[:-2]]).astype(np.uint64)
+
+
 def build_blooms(rows: DataFrame, p: float = 0.01) -> DataFrame:
     """rows(block, body) -> (block, bloom).
 
-    Trigrams are gathered in each task first; there are at most 2 ** 24 of them, so a block's
-    share is bounded however many bodies it has.
+    Trigrams are gathered in each task first, then a block's are joined one task's share after another;
+    there are at most 2 ** 24 of them, so both are bounded however many bodies and tasks there are.
+    Tasks without rows give nothing.
     """
 
     def gather(batches):
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             for block, bodies in batch.groupby("block").body:
-                grams = np.unique(np.concatenate([trigrams((b or "").encode()) for b in bodies]))
+                grams = _grams_of(bodies)
                 held[block] = np.union1d(held[block], grams) if block in held else grams
-        yield pd.DataFrame({"block": list(held), "grams": [g.astype("<u4").tobytes() for g in held.values()]})
+        if held:  # columns of an empty frame would be numbers, which Arrow refuses as text
+            yield pd.DataFrame({"block": list(held), "grams": [g.astype("<u4").tobytes() for g in held.values()]})
 
-    def finish(group: pd.DataFrame) -> pd.DataFrame:
-        grams = np.unique(np.concatenate([np.frombuffer(g, "<u4") for g in group.grams])).astype(np.uint64)
-        return pd.DataFrame({"block": [group.block.iloc[0]], "bloom": [build(grams, p)]})
-
-    return rows.select("block", "body").mapInPandas(gather, "block string, grams binary").groupBy("block").applyInPandas(finish, "block string, bloom binary")
+    def finish(batches):
+        name, grams = None, np.empty(0, np.uint64)
+        for batch in batches:
+            for block, part in zip(batch.block, batch.grams):
+                if name is not None and block != name:
+                    yield pd.DataFrame({"block": [name], "bloom": [build(grams, p)]})
+                    grams = np.empty(0, np.uint64)
+                name, grams = block, np.union1d(grams, np.frombuffer(part, "<u4").astype(np.uint64))
+        if name is not None:
+            yield pd.DataFrame({"block": [name], "bloom": [build(grams, p)]})
+
+    gathered = rows.select("block", "body").mapInPandas(gather, "block string, grams binary")
+    return gathered.repartition("block").sortWithinPartitions("block").mapInPandas(finish, "block string, bloom binary")

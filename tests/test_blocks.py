@@ -191,6 +191,13 @@ def test_catalog_rules(spark):
     assert blocks.write_block(root, "metrics", rows.limit(0)) is None
 
 
+def test_blooms_of_partitions_without_rows(spark):
+    rows = spark.createDataFrame([("a", "needle one"), ("a", "ab"), ("a", "cd"), ("b", None)], "block string, body string").repartition(9)
+    assert bloom.build_blooms(rows.filter("block = 'none'")).count() == 0
+    blobs = {r.block: bytes(r.bloom) for r in bloom.build_blooms(rows, 1e-6).collect()}
+    assert set(blobs) == {"a", "b"} and bloom.may_contain(blobs["a"], "needle") and not bloom.may_contain(blobs["a"], "abcd") and not bloom.may_contain(blobs["b"], "needle")
+
+
 def test_bloom_never_misses():
     import numpy as np
 
