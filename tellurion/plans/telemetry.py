@@ -354,7 +354,7 @@ def block_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     catalog, _ = log_store(spark, sf_dir, 1)
     files = blocks.block_stats(blocks.read_blocks(spark, "logs", [r.path for r in catalog.live().collect()]), "ts_unix_nano")
-    return files.select("row_count", "ts_min", "ts_max")
+    return files.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count"), F.min("ts_min").alias("ts_min"), F.max("ts_max").alias("ts_max"))
 
 
 @query(f"WITH {LOGS} SELECT severity::SMALLINT AS severity, count(*) AS n FROM logs WHERE ts_unix_nano < {START} AND event_type = 'error' GROUP BY 1")

@@ -19,6 +19,9 @@ from tellurion.functions.time import to_timestamp
 from tellurion.sources import bloom, postings
 
 MAX_ROWS, MAX_BYTES = 1_000_000, 128 << 20
+#: The column that makes a row of a signal large, and one in which rows of the same key and time differ.
+PAYLOAD = {"logs": "body", "profiles": "data"}
+APART = {"metrics": "value", "logs": "body", "traces": "span_id", "profiles": "data"}
 WRITER = {"compression": "zstd", "parquet.enable.dictionary": "false", "parquet.block.size": str(128 << 20), "parquet.compression.codec.zstd.level": "1"}
 SIDECAR = {"compression": "zstd", "parquet.enable.dictionary": "true"}
 
@@ -39,30 +42,38 @@ def check(rows: DataFrame, signal: str) -> None:
         raise ValueError(f"{signal} lack {', '.join(missing)}")
 
 
-def write_block(root: str, signal: str, rows: DataFrame, dimension: DataFrame | None = None, writer: str = "local", shard: int = 0, segment: int | None = None, level: int = 0, block: str | None = None, parts: int = 1) -> DataFrame | None:
+def write_block(root: str, signal: str, rows: DataFrame, dimension: DataFrame | None = None, writer: str = "local", shard: int = 0, segment: int | None = None, level: int = 0, block: str | None = None, parts: int | None = None) -> DataFrame | None:
     """Write one block; its catalog row, or None if there are no rows.
 
-    parts: files of the block. A block holds about a million rows, one task's work; larger
-    ones (from compaction) are range-partitioned by the sort key, which keeps them sorted overall.
+    parts: files of the block, by default one for each MAX_ROWS or MAX_BYTES, one task's work. Larger
+    blocks are range-partitioned by the sort key, which keeps them sorted overall.
     """
     check(rows, signal)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # a block's rows are made once, for its bounds, its files and its bloom
+    # A block's rows are read for its bounds, its files, its sidecars and its bloom. Making them again each time costs less than
+    # keeping them, maps and all, and needs no memory; only rows that would come out otherwise each time are kept.
+    kept = [] if rows._jdf.queryExecution().analyzed().deterministic() else [rows.persist(StorageLevel.MEMORY_AND_DISK)]
+    if dimension is not None:
+        kept.append(dimension.persist(StorageLevel.MEMORY_AND_DISK))
     try:
         return _write(root, signal, rows, dimension, writer, shard, segment, level, block or uuid.uuid4().hex, parts)
     finally:
-        rows.unpersist()
+        for df in reversed(kept):
+            df.unpersist()
 
 
-def _write(root: str, signal: str, rows: DataFrame, dimension: DataFrame | None, writer: str, shard: int, segment: int | None, level: int, block: str, parts: int) -> DataFrame | None:
+def _write(root: str, signal: str, rows: DataFrame, dimension: DataFrame | None, writer: str, shard: int, segment: int | None, level: int, block: str, parts: int | None) -> DataFrame | None:
     spark = rows.sparkSession
     schema = schemas.TABLES[signal]
-    stats = rows.agg(F.count("*"), F.min(schemas.TIME[signal]), F.max(schemas.TIME[signal]), F.date_format(to_timestamp(F.min(schemas.TIME[signal])), "yyyy/MM/dd")).first()
+    size = F.sum(F.octet_length(PAYLOAD[signal])) if signal in PAYLOAD else F.lit(0)
+    stats = rows.agg(F.count("*"), F.min(schemas.TIME[signal]), F.max(schemas.TIME[signal]), F.date_format(to_timestamp(F.min(schemas.TIME[signal])), "yyyy/MM/dd"), size).first()
     if not stats[0]:
         return None
     base = f"{root.rstrip('/')}/{signal}/{stats[3]}/{writer}/{block}"
     sort = schemas.SORT[signal]
     data = rows.select(*(F.col(f.name).cast(f.dataType.simpleString()).alias(f.name) for f in schema))
-    dealt = data.repartition(1) if parts == 1 else data.repartitionByRange(parts, *sort)
+    parts = parts or max(1, -(-stats[0] // MAX_ROWS), -(-(stats[4] or 0) // MAX_BYTES))
+    # Rows of one key at one time are told apart by a hash, so that they need not meet in one task.
+    dealt = data.repartition(1) if parts == 1 else data.repartitionByRange(parts, *sort, F.xxhash64(APART[signal]))
     dealt.sortWithinPartitions(*sort).write.options(**WRITER).option("maxRecordsPerFile", 1 << 22).mode("overwrite").parquet(f"{base}.{signal}")
     if dimension is not None:
         own = dimension.withColumn("block", F.lit(block))

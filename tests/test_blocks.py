@@ -191,6 +191,23 @@ def test_catalog_rules(spark):
     assert blocks.write_block(root, "metrics", rows.limit(0)) is None
 
 
+def test_a_large_block_is_many_files_in_order(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "MAX_ROWS", 100)
+    monkeypatch.setattr(blocks, "MAX_BYTES", 4000)
+    _, root = store(spark)
+    made = blocks.write_block(root, "metrics", metric_rows(spark, [({"i": str(i)}, 10 * i) for i in range(5)])).first()
+    key, file = F.struct("series_fingerprint", "ts_unix_nano"), F.col("_metadata.file_path")
+    bounds = sorted((tuple(r.a), tuple(r.b)) for r in blocks.read_blocks(spark, "metrics", [made.path]).groupBy(file).agg(F.min(key).alias("a"), F.max(key).alias("b")).collect())
+    assert made.row_count == 500 and len(bounds) > 2 and all(x[1] < y[0] for x, y in zip(bounds, bounds[1:]))
+    # Profiles are dealt by bytes, also those of one time.
+    rows = spark.range(60).select(F.lit(7).cast("long").alias("ts_unix_nano"), F.lit(1).cast("long").alias("duration_nano"), F.expr("cast(map() as map<string,string>)").alias("labels"), F.lit(1).cast("short").alias("format"), F.encode(F.rpad(F.col("id").cast("string"), 1000, "x"), "UTF-8").alias("data"))
+    made = blocks.write_block(root, "profiles", rows).first()
+    stored = blocks.read_blocks(spark, "profiles", [made.path])
+    counts = [r[1] for r in stored.groupBy(file).count().collect()]
+    assert sum(counts) == made.row_count == stored.select("data").distinct().count() == 60 and len(counts) > 5 and max(counts) < 30
+    assert blocks.write_block(root, "metrics", metric_rows(spark, [({}, 0)]).withColumn("value", F.rand(1))).first().row_count == 100  # rows that differ each time are kept meanwhile
+
+
 def test_blooms_of_partitions_without_rows(spark):
     rows = spark.createDataFrame([("a", "needle one"), ("a", "ab"), ("a", "cd"), ("b", None)], "block string, body string").repartition(9)
     assert bloom.build_blooms(rows.filter("block = 'none'")).count() == 0
