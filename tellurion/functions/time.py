@@ -37,8 +37,8 @@ def choose_step(start: int, end: int, most: int = 120) -> int:
 
 
 def step_of(span: Column, most: int = 120) -> Column:
-    """choose_step for a column of spans in nanoseconds; a null span counts as empty."""
-    fits = F.filter(F.array(*(F.lit(s * SECOND) for s in LADDER)), lambda s: span / s <= most)
+    """choose_step for a column of spans in nanoseconds; a null span counts as empty. Spans may be decimals, as two longs may lie further apart than a long holds."""
+    fits = F.filter(F.array(*(F.lit(s * SECOND) for s in LADDER)), lambda s: span <= s * most)
     wide = F.when(F.size(fits) > 0, F.element_at(fits, 1)).otherwise(LADDER[-1] * SECOND)
     return F.when(span > 0, wide).otherwise(SECOND)
 

@@ -190,7 +190,9 @@ _LADDER = ", ".join(map(str, LADDER))
 
 @query(f"SELECT event_id, coalesce(list_min(list_filter([{_LADDER}], lambda s: span / s <= 120)), {LADDER[-1]}) AS step FROM (SELECT event_id, (event_id % 7) * event_id * 1009 AS span FROM events) WHERE span > 0 UNION ALL SELECT event_id, 1 FROM events WHERE (event_id % 7) * event_id = 0")
 def step_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    span = (F.col("event_id") % 7) * F.col("event_id") * 1009 * SECOND
+    """Spans in nanoseconds as decimals: from 293 years on a long does not hold them."""
+    seconds = (F.col("event_id") % 7) * F.col("event_id") * 1009
+    span = seconds.cast("decimal(19,0)") * F.lit(SECOND).cast("decimal(10,0)")
     return signals.read(spark, sf_dir, "events").select("event_id", (step_of(span) / SECOND).cast("int").alias("step"))
 
 

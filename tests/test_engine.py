@@ -217,3 +217,15 @@ def test_cardinality_limit(spark):
     got = postings.capped(side, 5).collect()
     assert len(got) == len(rows)
     assert all(r.accepted == (r.fingerprint in want[r.labels.get("__name__")]) for r in got)
+
+
+def test_steps_of_spans_beyond_a_long(spark, tmp_path):
+    from compare import assert_equal, connection
+
+    from tellurion.plans import registry
+
+    ids = [0, 1, 7, 10**6, 1_523_445, 5_999_999, 6 * 10**7 + 5, 4 * 10**11 + 1]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    for name in set("region nation customer supplier part orders lineitem documents embeddings pages benchmark labels conversations".split()):
+        (tmp_path / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
+    assert_equal(spark, connection(str(tmp_path)), str(tmp_path), registry.QUERIES["step_ladder"], registry.ORACLES["step_ladder"])
