@@ -229,3 +229,9 @@ def test_steps_of_spans_beyond_a_long(spark, tmp_path):
     for name in set("region nation customer supplier part orders lineitem documents embeddings pages benchmark labels conversations".split()):
         (tmp_path / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
     assert_equal(spark, connection(str(tmp_path)), str(tmp_path), registry.QUERIES["step_ladder"], registry.ORACLES["step_ladder"])
+
+
+def test_no_buffers_for_each_distinct_value(spark, sf_dir):
+    from tellurion.plans import registry
+
+    assert "count(distinct" not in registry.QUERIES["sql_approximate"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().lower()
