@@ -12,16 +12,20 @@ from pyspark.sql import functions as F
 EMPTY = "cast(map() as map<string,string>)"
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often use() names it; a lambda would work it out again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def rekeyed(labels: Column, key) -> Column:
     """The map with key(k, v) for each key; of keys that meet the last one stays, whatever the session does about repeated keys."""
     pairs = F.transform(F.map_entries(labels), lambda e: F.struct(key(e.key, e.value).alias("key"), e.value.alias("value")))
-    names = F.transform(pairs, lambda e: e.key)
-    return F.map_from_entries(F.filter(pairs, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e.key)))
+    return once(pairs, lambda all_: F.map_from_entries(F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda later: later.key == e.key))))
 
 
 def merged(*maps: Column) -> Column:
     """One map of several; of equal keys the last map's stays, whatever the session does about repeated keys."""
-    return reduce(lambda old, new: F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new), maps)
+    return reduce(lambda old, new: once(new, lambda n: F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(n, k)), n)), maps)
 
 
 def canonical(labels: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tellurion import schemas
-from tellurion.functions.labels import fingerprint, merged, rekeyed
+from tellurion.functions.labels import fingerprint, merged, once, rekeyed
 from tellurion.functions.time import floor_div
 
 NAME = re.compile(r"[a-zA-Z_:][a-zA-Z0-9_:]*")
@@ -111,15 +111,22 @@ def relabel(labels: Column, renames: dict[str, str]) -> Column:
     if not renames:
         return labels
     table = F.create_map(*(F.lit(x) for pair in renames.items() for x in pair))
-    moved = F.map_filter(labels, lambda k, v: F.map_contains_key(table, k))
-    kept = F.map_filter(labels, lambda k, v: ~F.map_contains_key(table, k))
-    return merged(F.map_filter(kept, lambda k, v: ~k.isin(*renames.values()) | ~F.exists(F.map_keys(moved), lambda m: table[m] == k)), rekeyed(moved, lambda k, v: table[k]))
+
+    def renamed(own: Column) -> Column:
+        moved = F.map_filter(own, lambda k, v: F.map_contains_key(table, k))
+        return merged(F.map_filter(own, lambda k, v: ~F.map_contains_key(table, k)), rekeyed(moved, lambda k, v: table[k]))
+
+    return once(labels, renamed)
 
 
 def with_target(name: Column, labels: Column, target: Column) -> Column:
     """An exposed series under its target: target labels win, what they would hide is kept as exported_<key>."""
-    exported = rekeyed(labels, lambda k, v: F.when(F.map_contains_key(target, k), F.concat(F.lit("exported_"), k)).otherwise(k))
-    return merged(exported, target, F.create_map(F.lit("__name__"), name))
+
+    def under(own: Column) -> Column:
+        exported = rekeyed(labels, lambda k, v: F.when(F.map_contains_key(own, k), F.concat(F.lit("exported_"), k)).otherwise(k))
+        return merged(exported, own, F.create_map(F.lit("__name__"), name))
+
+    return once(target, under)
 
 
 def scrape_series(samples: DataFrame, scraped_ns: Column) -> DataFrame:
