@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tellurion.functions.labels import EMPTY, fingerprint, matches, merged, rekeyed
+from tellurion.functions.labels import EMPTY, fingerprint, matches, merged, once, rekeyed
 from tellurion.functions.time import rfc3339_nanos
 
 LINE = r"(?s)^(\S+) (stdout|stderr) ([FP])(?::\S*)? (.*)$"
@@ -57,9 +57,8 @@ def _fields(body: Column) -> Column:
 
 def message(body: Column, field: str) -> Column:
     """A field of a JSON body in its place if that is a string, else the body."""
-    value = F.try_variant_get(F.try_parse_json(body), f"$.{field}", "string")
-    is_text = F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), f"$.{field}", "variant")) == "STRING"
-    return F.when(is_text, value).otherwise(body)
+    found = F.try_variant_get(F.try_parse_json(body), f"$.{field}", "variant")
+    return once(found, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(body))
 
 
 def stream_labels(pod_labels: Column, core: Column, fields: Column, label_map: dict[str, str], json_labels: list[str], static: dict[str, str]) -> Column:

@@ -235,3 +235,17 @@ def test_no_buffers_for_each_distinct_value(spark, sf_dir):
     from tellurion.plans import registry
 
     assert "count(distinct" not in registry.QUERIES["sql_approximate"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_maps_are_worked_out_once(spark):
+    from tellurion.functions.labels import merged, rekeyed
+    from tellurion.sources import container_logs, promtext
+
+    own = F.create_map(F.lit("MARK"), F.col("x"))
+    for made in (rekeyed(own, lambda k, v: F.upper(k)), merged(F.create_map(F.lit("a"), F.col("x")), own, F.create_map(F.lit("b"), F.col("x"))), promtext.relabel(own, {"z": "n"}), promtext.with_target(F.col("x"), F.create_map(F.lit("t"), F.col("x")), own), container_logs.message(F.concat(F.lit("MARK"), "x"), "msg")):
+        text = spark.sql("select 'y' as x").select(made.alias("r"))._jdf.queryExecution().analyzed().toString()
+        assert text.count("MARK") <= 2
+    row = spark.sql("select 'y' as x").select(promtext.relabel(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"), F.lit("c"), F.lit("3")), {"a": "b", "z": "c"}).alias("r"), promtext.with_target(F.lit("m"), F.create_map(F.lit("job"), F.lit("1"), F.lit("exported_job"), F.lit("2")), F.create_map(F.lit("job"), F.lit("t"))).alias("t")).first()
+    assert row.r == {"b": "1", "c": "3"} and row.t == {"exported_job": "2", "job": "t", "__name__": "m"}
+    found = spark.createDataFrame([('{"msg":"a"}',), ('{"msg":5}',), ('{"msg":null}',), ("{}",), ("no",), (None,)], "body string").select(container_logs.message(F.col("body"), "msg")).collect()
+    assert [r[0] for r in found] == ["a", '{"msg":5}', '{"msg":null}', "{}", "no", None]
