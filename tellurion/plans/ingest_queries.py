@@ -103,23 +103,37 @@ def _attributes(**values) -> F.Column:
     return F.array(*(F.struct(F.lit(k.replace("__", ".")).alias("key"), v.alias("value")) for k, v in values.items()))
 
 
+#: Rows from which the requests of an export are made; a request has at most so many spans, however many there are of its resource.
+EXPORT = 4096
+
+
+def _trace_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as trace requests: of each run of EXPORT rows one for each resource. Narrow rows are gathered, spans are made of them afterwards."""
+    narrow = read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("supplier"), "l_linestatus", F.floor(F.monotonically_increasing_id() / EXPORT).alias("run"), F.struct(signals.trace_id(F.col("l_orderkey")).alias("trace"), signals.span_id(F.col("l_linenumber").cast("string")).alias("id"), "l_linenumber", "l_returnflag").alias("line"))
+    status = F.col("l_linestatus")
+
+    def span(line: F.Column) -> F.Column:
+        trace, number = line.trace, line.l_linenumber.cast("string")
+        attributes = _attributes(
+            flags=_value(array_value=F.array(line.l_returnflag, F.lit("x"))), pair=_value(kv_value=F.array(F.struct(F.lit("n").alias("key"), number.alias("value")))), raw=_value(bytes_value=F.encode(status, "UTF-8")), none=_value(),
+        )
+        return F.struct(
+            trace.alias("trace_id"), line.id.alias("span_id"), F.when(line.l_linenumber == 1, F.encode(F.lit(""), "UTF-8")).otherwise(signals.span_id(F.lit("1"))).alias("parent_span_id"), F.lit("line").alias("name"), F.lit(2).alias("kind"),
+            F.lit(1).cast("long").alias("start_unix_nano"), F.lit(2).cast("long").alias("end_unix_nano"), F.lit(1).alias("status_code"), F.lit("").alias("status_message"), attributes.alias("attributes"),
+            F.array(F.struct(F.lit(1).cast("long").alias("ts_unix_nano"), F.concat(F.lit("at "), number).alias("name"), _attributes(k=_value(int_value=F.lit(5))).alias("attributes"))).alias("events"),
+            F.array(F.struct(trace.alias("trace_id"), line.id.alias("span_id"), _attributes().cast(tracing.ATTRIBUTES).alias("attributes"))).alias("links"),
+        )
+
+    resource = _attributes(service__name=_value(string_value=F.concat(F.lit("supplier-"), F.col("supplier"))), deployment__environment__name=_value(string_value=status))
+    gathered = narrow.groupBy("supplier", "l_linestatus", "run").agg(F.collect_list("line").alias("lines"))
+    scope = F.struct(F.lit("lib").alias("name"), F.lit("1").alias("version"), F.transform("lines", span).alias("spans"))
+    return gathered.select(F.array(F.struct(resource.alias("resource"), F.array(scope).alias("scopes"))).alias("resource_spans"))
+
+
 @query("""SELECT lpad(lower(hex(l_orderkey)), 32, '0') AS trace_id, 'supplier-' || (l_suppkey % 10) AS service_name, l_linestatus AS deployment_environment, (l_linenumber = 1) AS is_root,
   '[' || l_returnflag || ',x]' AS flags, '{n=' || l_linenumber || '}' AS pair, lower(hex(encode(l_linestatus))) AS raw, 1 AS events, 'at ' || l_linenumber AS event FROM lineitem""")
 def otlp_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem")
-    trace, number = signals.trace_id(F.col("l_orderkey")), F.col("l_linenumber").cast("string")
-    attributes = _attributes(
-        flags=_value(array_value=F.array("l_returnflag", F.lit("x"))), pair=_value(kv_value=F.array(F.struct(F.lit("n").alias("key"), number.alias("value")))), raw=_value(bytes_value=F.encode("l_linestatus", "UTF-8")), none=_value(),
-    )
-    span = F.struct(
-        trace.alias("trace_id"), signals.span_id(number).alias("span_id"), F.when(F.col("l_linenumber") == 1, F.encode(F.lit(""), "UTF-8")).otherwise(signals.span_id(F.lit("1"))).alias("parent_span_id"), F.lit("line").alias("name"), F.lit(2).alias("kind"),
-        F.lit(1).cast("long").alias("start_unix_nano"), F.lit(2).cast("long").alias("end_unix_nano"), F.lit(1).alias("status_code"), F.lit("").alias("status_message"), attributes.alias("attributes"),
-        F.array(F.struct(F.lit(1).cast("long").alias("ts_unix_nano"), F.concat(F.lit("at "), number).alias("name"), _attributes(k=_value(int_value=F.lit(5))).alias("attributes"))).alias("events"),
-        F.array(F.struct(trace.alias("trace_id"), signals.span_id(number).alias("span_id"), _attributes().cast(tracing.ATTRIBUTES).alias("attributes"))).alias("links"),
-    )
-    resource = _attributes(service__name=_value(string_value=F.concat(F.lit("supplier-"), F.col("l_suppkey") % 10)), deployment__environment__name=_value(string_value=F.col("l_linestatus")))
-    requests = line.groupBy(resource.alias("resource")).agg(F.collect_list(span).alias("spans")).select(F.array(F.struct("resource", F.array(F.struct(F.lit("lib").alias("name"), F.lit("1").alias("version"), "spans")).alias("scopes"))).alias("resource_spans"))
-    out = tracing.flatten_spans(requests)
+    out = tracing.flatten_spans(_trace_requests(spark, sf_dir))
     a = F.col("attributes")
     return out.filter(a["none"] == "").select(
         F.lower(F.hex("trace_id")).alias("trace_id"), "service_name", "deployment_environment", F.col("parent_span_id").isNull().alias("is_root"), a["flags"].alias("flags"), a["pair"].alias("pair"), a["raw"].alias("raw"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellurion.functions.labels import EMPTY, merged
+from tellurion.functions.labels import EMPTY, merged, once
 from tellurion.functions.text import lower_hex
 
 #: One attribute value: at most one of the fields is set. Nested values come as JSON text made by list_text and pairs_text.
@@ -30,8 +30,9 @@ def value_text(v: Column) -> Column:
 def attribute_map(attributes: Column) -> Column:
     """The last of repeated keys wins."""
     entries = F.transform(attributes, lambda a: F.struct(a.key.alias("key"), value_text(a.value).alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later.key == e.key))
-    return F.coalesce(F.map_from_entries(last), F.expr(EMPTY))
+    last = lambda all_: F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda later: later.key == e.key))
+    differ = lambda all_: F.size(F.array_distinct(F.transform(all_, lambda e: e.key))) == F.size(all_)
+    return F.coalesce(once(entries, lambda all_: F.map_from_entries(F.when(differ(all_), all_).otherwise(last(all_)))), F.expr(EMPTY))
 
 
 def promoted(resource: Column) -> list[Column]:

@@ -83,3 +83,12 @@ def test_deep_trees_keep_every_span(spark):
     rows = [(b"t" * 16, i.to_bytes(8, "big"), (i - 1).to_bytes(8, "big") if i else None, i) for i in range(80)]
     deep = spark.createDataFrame(rows, "trace_id binary, span_id binary, parent_span_id binary, start_unix_nano long")
     assert sorted(r.depth for r in analytics.span_tree(deep).collect()) == list(range(80))
+
+
+def test_trace_requests_are_bounded(spark, sf_dir, monkeypatch):
+    from tellurion.plans import ingest_queries
+
+    monkeypatch.setattr(ingest_queries, "EXPORT", 64)
+    spans = ingest_queries._trace_requests(spark, sf_dir).selectExpr("size(resource_spans[0].scopes[0].spans) as n")
+    most, total = spans.selectExpr("max(n)", "sum(n)").first()
+    assert most <= 64 and total == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
