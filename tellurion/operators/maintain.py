@@ -48,7 +48,6 @@ def merge_blocks(catalog: Catalog, root: str, group: list, fence: Fence | None =
         first = F.min_by("metric_type", F.when(F.col("metric_type").isNotNull(), order[F.col("block")]))
         side = series.groupBy("fingerprint").agg(F.min_by("labels", order[F.col("block")]).alias("labels"), first.alias("metric_type"))
     _hold(fence)
-    parts = parts or max(1, sum(b.row_count for b in group) // (4 * blocks.MAX_ROWS))
     return blocks.write_block(root, signal, rows, side, writer="compactor", level=group[0].level + 1, parts=parts)
 
 
